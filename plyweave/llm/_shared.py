@@ -35,7 +35,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     Unlike a local checkpoint it survives the loss of any executor.
     """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

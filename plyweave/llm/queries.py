@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sharding, simhash
+from . import packing, pii, sharding, simhash, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of nearly equal bytes."""
     return sharding.shard_digest(_table(spark, sf_dir, "documents"), 8)
@@ -23,13 +29,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to files and read back."""
+    return token_file.token_digest(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), 1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_shards, op2_simhash, op7_pii)}
+    return {f.__name__: f for f in (op1_histogram_shards, op2_simhash, op5_token_file, op7_pii, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
