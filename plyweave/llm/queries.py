@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, sharding, simhash, token_file
+from . import annsearch, langid, packing, pii, sharding, simhash, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_digest(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    return annsearch.search_digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
@@ -44,8 +49,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), 1024)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return langid.langid_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_shards, op2_simhash, op5_token_file, op7_pii, op9_packing)}
+    return {f.__name__: f for f in (op1_histogram_shards, op2_simhash, op5_token_file, op6_multi_index, op7_pii, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
