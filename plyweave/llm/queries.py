@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annsearch, langid, packing, pii, sharding, simhash, token_file
+from . import annsearch, langid, packing, pii, pivots, sharding, simhash, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors within each label."""
+    return pivots.vector_digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to files and read back."""
     return token_file.token_digest(_table(spark, sf_dir, "documents"), _tokenizer())
@@ -55,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_shards, op2_simhash, op5_token_file, op6_multi_index, op7_pii, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_histogram_shards, op2_simhash, op4_pivots, op5_token_file, op6_multi_index, op7_pii, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
