@@ -41,7 +41,7 @@ def permutations(unit: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray
 
 
 def vector_groups(
-    vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, depth: int = 8, shared: int = 4, pivots: int = 2048, sample: int = 4096,
+    vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, depth: int = 12, shared: int = 3, pivots: int = 2048, sample: int = 4096,
 ) -> DataFrame:
     """(vec_id, n_links, component_id) for every row: its links to other rows, and the smallest vec_id reachable by them.
 
