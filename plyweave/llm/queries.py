@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annsearch, langid, packing, pii, pivots, sharding, simhash, token_file
+from . import annsearch, langid, lmscore, mixing, packing, pii, pivots, sharding, simhash, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a network trained on all of them."""
+    return lmscore.score_digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors within each label."""
     return pivots.vector_digest(_table(spark, sf_dir, "embeddings"))
@@ -49,6 +54,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weights, probabilities and the sample of all documents."""
+    return mixing.mix_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), 1024)
@@ -60,7 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_shards, op2_simhash, op4_pivots, op5_token_file, op6_multi_index, op7_pii, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_histogram_shards, op2_simhash, op3_pseudo_likelihood, op4_pivots, op5_token_file, op6_multi_index, op7_pii, op8_mixing, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
