@@ -1,3 +1,3 @@
 """Registered queries over the test tables and their SQL twins."""
 
-from . import tokens  # noqa: F401
+from . import tokens, trees  # noqa: F401
