@@ -195,7 +195,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order_col
     if bounds[0] is not None and (bounds[0] < 1 or bounds[1] > capacity):
         raise ValueError(f"lengths from 1 to {capacity} are needed")
     # A length's pieces are numbered in slices, since one length may hold a large share of them.
-    slices = max(1, min(4096, pieces.count() // 20_000))
+    slices = max(1, min(65_536, pieces.count() // 1024))
     sliced = pieces.withColumn("__slice", F.pmod(F.xxhash64(*order_cols), F.lit(slices)))
     sizes = cut(sliced.groupBy(F.col(length_col).alias("__length"), F.col("__slice")).agg(F.count("*").alias("__n")), "piece-counts")
     counts = {r[0]: r[1] for r in sizes.groupBy("__length").agg(F.sum("__n")).collect()}  # one for each length
