@@ -89,7 +89,8 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     return out.withColumn("bi", F.col("__at.bi")).withColumn("bj", F.col("__at.bj")).withColumn("role", F.col("__at.as").cast("byte")).drop("__at", "parts")
 
 
-Verify = Callable[[dict, np.ndarray, np.ndarray], np.ndarray]
+#: Which meetings are links, and maybe which are to be decided later.
+Verify = Callable[[dict, np.ndarray, np.ndarray], np.ndarray | tuple[np.ndarray, np.ndarray]]
 
 
 def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch], dict], *, block: int, weights: bool = False) -> DataFrame:
@@ -97,7 +98,8 @@ def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch],
 
     ``columns`` turns a batch into named arrays, ``verify`` tells which (index, query) row numbers are
     links; it must accept a pair once over all buckets if ``weights`` are wanted.  Returns rows (a, b, n):
-    with n null an edge, ``b`` the smaller id; else id ``a`` has links to rows of ``n`` in weight.
+    with n null an edge, ``b`` the smaller id; with n -1 a pair to be decided, unless links at hand connect it
+    already; else id ``a`` has links to rows of ``n`` in weight.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,20 +108,33 @@ def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch],
         def links(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             key = np.stack([batch.column(c).to_numpy() for c in ("key", "bi", "bj")], axis=1)
             role = batch.column("role").to_numpy()
-            table, found = columns(batch), []
+            table, found, open_ = columns(batch), [], []
             for i, q in bucket_pairs(key, role):
                 ok = verify(table, i, q)
+                if isinstance(ok, tuple):
+                    ok, unsure = ok
+                    if unsure.any():
+                        open_.append((i[unsure], q[unsure]))
                 if ok.any():
                     found.append((i[ok], q[ok]))
-                if found and sum(len(x[0]) for x in found) > PAIRS_AT_ONCE:
-                    yield from out(table, found)
-                    found = []
-            if found:
-                yield from out(table, found)
-
-        def out(table: dict, found: list) -> Iterator[pa.RecordBatch]:
-            i, q = (np.concatenate(x) for x in zip(*found, strict=True))
+                if sum(len(x[0]) for x in found + open_) > PAIRS_AT_ONCE:
+                    yield from out(table, found, open_)
+                    found, open_ = [], []
+            if found or open_:
+                yield from out(table, found, open_)
+
+        def out(table: dict, found: list, open_: list) -> Iterator[pa.RecordBatch]:
+            none = [(np.zeros(0, np.int64),) * 2]
+            i, q = (np.concatenate(x) for x in zip(*(found or none), strict=True))
             a, b = stars(table["id"][i], table["id"][q])
+            if open_:
+                x, y = (table["id"][np.concatenate(c)] for c in zip(*open_, strict=True))
+                far = np.ones(len(x), bool)
+                if len(a):
+                    root = lambda c: np.where(a[at := np.minimum(np.searchsorted(a, c), len(a) - 1)] == c, b[at], c)
+                    far = root(x) != root(y)
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[far], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), -1, np.int64))], ["a", "b", "n"])
             n = np.zeros(len(a), np.int64)
             edge = np.ones(len(a), bool)
             if weights:

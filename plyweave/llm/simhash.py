@@ -102,17 +102,22 @@ def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text, written to the shared folder; fp is a long for one lane, else bytes."""
+    """(doc_id, fp[, text_hash]): the fingerprint of each whole text, written to the shared folder; fp is a long for one lane.
+
+    With more lanes it is bytes, and a hash of the text goes with it.
+    """
     steady_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(x.as_py(), shingle, lanes) for x in batch.column(1)]
             fp = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64)) if lanes == 1 else pa.array(prints, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, *batch.columns[2:]], ["doc_id", "fp", "text_hash"][: len(batch.columns)])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return cut(narrow.mapInArrow(run, f"doc_id long, fp {'long' if lanes == 1 else 'binary'}"), "fingerprints")
+    if lanes > 1:
+        narrow = narrow.withColumn("text_hash", F.xxhash64("text"))
+    return cut(narrow.mapInArrow(run, "doc_id long, fp long" if lanes == 1 else "doc_id long, fp binary, text_hash long"), "fingerprints")
 
 
 def _exact_rows(fps: DataFrame) -> DataFrame:
@@ -201,25 +206,66 @@ def _grouped(fps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return fps.join(labelled.join(first, "component").select("fp", "component_id"), "fp")
 
 
+def _bits(similarity: float) -> float:
+    """Expected differing bits of 256 between sets of a Jaccard similarity, by the angle between their vectors."""
+    return 256 * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = 5, similarity: float = 0.8, tables: int = 5) -> DataFrame:
-    """(doc_id, component_id): documents whose shingle sets have an estimated Jaccard similarity of ``similarity`` or more are linked.
+    """(doc_id, component_id): documents whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Fingerprints have 256 bits; the share of differing bits estimates the angle between shingle vectors and so the
-    similarity.  ``tables`` pairs of segments give joint Golay codewords as keys; pairs that share one are verified
-    on all bits.  Texts without words differ from all texts but each other.
+    Fingerprints have 256 bits.  ``tables`` pairs of segments give joint Golay codewords as keys.  Of the pairs that
+    share one, those with few differing bits are links, those with too many are not, and those between are decided
+    by their shingles, unless links connect them anyhow.  Texts without words differ from all texts but each other;
+    null ids as in :func:`simhash_groups`.
     """
     fps = fingerprints(docs, text_col, id_col, shingle=shingle, lanes=4)
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fp")), "near-nodes")
-    most = int(256 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")).withColumn("node", F.xxhash64("fp")), "near-nodes")
+    sure = int(_bits(1 - (1 - similarity) / 4))
+    most = int(_bits(similarity) + 2.5 * np.sqrt(_bits(similarity) * (1 - _bits(similarity) / 256)))
 
-    def verify(table: dict, i: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def verify(table: dict, i: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        distance = np.full(len(i), 256)
         ok = table["id"][i] < table["id"][q]
-        i, q = i[ok], q[ok]
-        ok[ok] = np.bitwise_count(table["fp"][i] ^ table["fp"][q]).sum(axis=1) <= most
-        return ok
+        distance[ok] = np.bitwise_count(table["fp"][i[ok]] ^ table["fp"][q[ok]]).sum(axis=1)
+        return distance <= sure, (distance > sure) & (distance <= most)
+
+    found = cut(linked(_near_rows(nodes.select("node", "fp"), tables), verify, _with_bits, block=BLOCK), "near-links")
+    links = found.filter("n IS NULL").select("a", "b")
+    reached = components(links)
+    unsure = found.filter("n = -1").select("a", "b").distinct()
+    for side in "ab":
+        unsure = unsure.join(reached.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    unsure = cut(unsure.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "near-unsure")
+    links = links.union(_similar(docs.select(F.col(text_col).alias("text")), nodes, unsure, shingle, similarity))
+    return _grouped(fps.drop("text_hash"), nodes, links).select("doc_id", "component_id")
 
-    edges = linked(_near_rows(nodes.select("node", "fp"), tables), verify, _with_bits, block=BLOCK)
-    return _grouped(fps, nodes, edges).select("doc_id", "component_id")
+
+def _similar(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles, as 32-bit hashes, are similar enough."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_shingle_hashes(x.as_py(), shingle) >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(one.as_py(), "<u4"), np.frombuffer(two.as_py(), "<u4")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "text_hash")
+    wanted = cut(wanted, "near-wanted")
+    if wanted.count() <= 1_000_000:  # 16 MB at most
+        wanted = F.broadcast(wanted)
+    own = texts.withColumn("text_hash", F.xxhash64("text")).join(wanted, "text_hash").select("node", "text")
+    sets = cut(own.mapInArrow(collect, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
