@@ -144,3 +144,19 @@ def relative_position(a: str, b: str) -> Column:
     overlap = ((c(a, "id") <= c(b, "id")) & (c(b, "id") <= c(a, "end"))) | ((c(b, "id") <= c(a, "id")) & (c(a, "id") <= c(b, "end")))
     earlier = F.when(c(a, "line") == c(b, "line"), c(a, "col") < c(b, "col")).otherwise(c(a, "line") < c(b, "line"))
     return F.when(overlap, "overlapping").when(earlier, "before").otherwise("after")
+
+
+def indented() -> Column:
+    """A node as a line of an outline."""
+    return F.concat(F.repeat(F.lit("  "), F.col("depth")), "tag")
+
+
+def same_place(a: Column, b: Column) -> Column:
+    """Whether two structs (file, start_line, start_col, end_line, end_col) are one place; nulls are equal."""
+    return a.eqNullSafe(b)
+
+
+def starts_before(a: Column, b: Column) -> Column:
+    """Order of places by their starts only."""
+    start = lambda p: F.struct(p["start_line"], p["start_col"])
+    return start(a) < start(b)

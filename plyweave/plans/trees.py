@@ -324,3 +324,22 @@ def node_trace_kind(spark, sf_dir):
     """Whether each node is wholly, partly or not at all apart from urgent finished orders."""
     nodes = rtree(spark, sf_dir)
     return R.extent(nodes, nodes.filter(_MARK).select("content_id", "node_id"))
+
+
+@query(TREE + "SELECT content_id, node_id, repeat('  ', depth) || tag AS line FROM nodes")
+def tree_outline(spark, sf_dir):
+    """Every node as a line of an outline."""
+    return rtree(spark, sf_dir).select("content_id", "node_id", T.indented().alias("line"))
+
+
+@query(
+    TREE
+    + """SELECT a.content_id, a.node_id AS a, b.node_id AS b, (a.depth = b.depth AND a.node_id = b.node_id) AS same, (a.depth < b.depth OR (a.depth = b.depth AND a.node_id < b.node_id)) AS earlier
+FROM nodes a JOIN nodes b ON a.content_id = b.content_id AND a.tag = 'class_declaration' AND b.tag = 'class_declaration'"""
+)
+def position_order(spark, sf_dir):
+    """Equality and order of the places of classes; a node's line is its depth, its column its number."""
+    some = rtree(spark, sf_dir).filter("tag = 'class_declaration'")
+    place = lambda n: F.struct(F.col("depth").alias("start_line"), F.col("node_id").alias("start_col"), F.col("depth").alias("end_line"), F.col("node_id").alias("end_col")).alias(f"p{n}")
+    one, two = (some.select("content_id", F.col("node_id").alias(n), place(n)) for n in "ab")
+    return one.join(two, "content_id").select("content_id", "a", "b", T.same_place(F.col("pa"), F.col("pb")).alias("same"), T.starts_before(F.col("pa"), F.col("pb")).alias("earlier"))
