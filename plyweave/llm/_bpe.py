@@ -16,10 +16,10 @@ LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Code points from here on are left to the library.
 LIMIT = 0x3000
 WIDE = 24
-SLOT_BITS = 21
+SLOT_BITS = 20
 #: The table of seen pre-tokens is emptied at this many.
-MOST = 1_200_000
-CHUNK_CHARS = 2_000_000
+MOST = 500_000
+CHUNK_CHARS = 1_000_000
 _ONE, _TWO = "stmd", ("re", "ve", "ll")
 
 

@@ -49,7 +49,7 @@ def forget(df: DataFrame) -> None:
 
 def steady_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch, so that a run of very long texts stays small in Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._shared import steady_batches
 
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 150_000
 
 
 @dataclass

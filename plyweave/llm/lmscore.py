@@ -25,7 +25,7 @@ GROUPS, WITHIN, DIM = 32, 64, 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 4096
 #: Bytes of text in one numpy pass.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 PRIME = np.uint64(0x100000001B3)
 
 
