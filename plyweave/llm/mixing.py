@@ -79,7 +79,7 @@ def uniform(id_col: str | Column, seed: int) -> Column:
 def _scale(weighed: DataFrame, keep: float, largest: float) -> float:
     """The factor at which weights, cut off at 1, keep the share ``keep`` of all tokens; sums over cells decide, by bisection."""
     part = lambda x: F.sum(F.least(F.lit(1.0), F.col("weight") * F.lit(x)) * F.col("tokens")) / F.sum("tokens")
-    low, high = 1 / largest, 1e9 / largest
+    low, high = min(1 / largest, keep), 1e9 / largest  # fitted tokens add up to all, so at low nothing more is kept
     for _ in range(6):  # each pass tries 32 factors at once
         tries = list(np.geomspace(low, high, 32))
         shares = weighed.agg(*(part(x) for x in tries)).first()
@@ -98,7 +98,7 @@ def mix(
     ``targets``: for each margin the share of tokens that each value should have; values without one get none.
     Without ``targets`` they are the present shares to the ``power``.  ``weight`` is a cell's fitted tokens over
     its own; ``probability`` is that over the largest weight, so expected tokens are in the target proportions
-    and no document is repeated.  With ``keep``, the share of tokens to keep, probabilities are scaled up to it and
+    and no document is repeated.  With ``keep``, the share of tokens to keep, probabilities are scaled to it and
     end at 1, where the rarest cells fall short of their targets.  ``kept``: a number that the id and ``seed`` decide lies below the probability;
     repeated ids are kept or dropped together.
 
@@ -139,7 +139,7 @@ def topic(text: str) -> Column:
     """A coarse kind of text, from its whole length: table, markup, shout, code or prose; null texts have none."""
     t = F.col(text)
     size = F.length(t)
-    many = lambda chars: size - F.length(F.translate(t, chars, ""))
+    many = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
     return (
         F.when(size == 0, "empty").when(many("|") * 50 > size, "table").when(many("#$%&*~^") * 25 > size, "markup").when(many("!") * 25 > size, "shout")
         .when(many("={}();<>") * 50 > size, "code").when(size.isNotNull(), "prose")
