@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     Fingerprints have 256 bits.  ``tables`` pairs of segments give joint Golay codewords as keys.  Of the pairs that
     share one, those with few differing bits are links, those with too many are not, and those between are decided
-    by their shingles, unless links connect them anyhow.  Texts without words differ from all texts but each other;
+    by their shingles, unless links connect them anyhow.  Of the open pairs in a block a spanning forest of the fewest
+    differing bits is decided, so their number does not grow with the square of a group.  Texts without words differ from all texts but each other;
     null ids as in :func:`simhash_groups`.
     """
     fps = fingerprints(docs, text_col, id_col, shingle=shingle, lanes=4)
@@ -224,11 +225,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     sure = int(_bits(1 - (1 - similarity) / 4))
     most = int(_bits(similarity) + 2.5 * np.sqrt(_bits(similarity) * (1 - _bits(similarity) / 256)))
 
-    def verify(table: dict, i: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def verify(table: dict, i: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         distance = np.full(len(i), 256)
         ok = table["id"][i] < table["id"][q]
         distance[ok] = np.bitwise_count(table["fp"][i[ok]] ^ table["fp"][q[ok]]).sum(axis=1)
-        return distance <= sure, (distance > sure) & (distance <= most)
+        return distance <= sure, (distance > sure) & (distance <= most), distance
 
     found = cut(linked(_near_rows(nodes.select("node", "fp"), tables), verify, _with_bits, block=BLOCK), "near-links")
     links = found.filter("n IS NULL").select("a", "b")
