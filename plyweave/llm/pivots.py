@@ -20,7 +20,7 @@ from ._shared import cut
 from .annsearch import _matrix, usable
 
 #: Index rows of a bucket in one block.
-BLOCK = 2048
+BLOCK = 512
 
 
 def choose_pivots(sample: np.ndarray, most: int, apart: float = 0.8) -> np.ndarray:
