@@ -76,23 +76,16 @@ def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[s:e], seed) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> bytes:
-    """``lanes`` * 64 bits: a bit is 1 if set in over half the hashes of the shingles; without words all are 0.
+def _majority(hashes: np.ndarray, lanes: int = 1) -> bytes:
+    """``lanes`` * 64 bits: a bit is 1 if set in over half the hashes; without any all are 0.
 
     The first lane takes the hashes themselves; further lanes take them mixed with another constant each.
     """
-    hashes = _shingle_hashes(text, shingle)
     if not len(hashes):
         return bytes(8 * lanes)
     out = []
     for lane in range(lanes):
-        if lane:  # the finaliser of a 64-bit mixer
-            x = hashes + np.uint64(0x9E3779B97F4A7C15 * lane & (1 << 64) - 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        else:
-            x = hashes
+        x = _mixed(hashes, lane) if lane else hashes
         counts = np.zeros(64, np.int64)
         for at in range(0, len(x), 60_000):
             bits = np.unpackbits(x[at : at + 60_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -101,23 +94,44 @@ def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """(doc_id, fp[, text_hash]): the fingerprint of each whole text, written to the shared folder; fp is a long for one lane.
+def _mixed(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
+    """The finaliser of a 64-bit mixer."""
+    x = x + np.asarray(salt, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    With more lanes it is bytes, and a hash of the text goes with it.
-    """
+
+def fingerprint(text: str | None, shingle: int = 3) -> bytes:
+    """64 bits of the shingles, repeats included."""
+    return _majority(_shingle_hashes(text, shingle))
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each whole text as a long, written to the shared folder."""
     steady_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(x.as_py(), shingle, lanes) for x in batch.column(1)]
-            fp = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64)) if lanes == 1 else pa.array(prints, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, *batch.columns[2:]], ["doc_id", "fp", "text_hash"][: len(batch.columns)])
+            prints = [fingerprint(x.as_py(), shingle) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))], ["doc_id", "fp"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if lanes > 1:
-        narrow = narrow.withColumn("text_hash", F.xxhash64("text"))
-    return cut(narrow.mapInArrow(run, "doc_id long, fp long" if lanes == 1 else "doc_id long, fp binary, text_hash long"), "fingerprints")
+    return cut(narrow.mapInArrow(run, "doc_id long, fp long"), "fingerprints")
+
+
+def _set_prints(docs: DataFrame, text_col: str, id_col: str, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, node, fp): ``node`` is a hash of the text's set of shingles, ``fp`` 256 bits of that set; repeats do not count."""
+    steady_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_shingle_hashes(x.as_py(), shingle)) for x in batch.column(2)]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes), pa.array([_majority(x, 4) for x in sets], pa.binary())], ["doc_id", "text_hash", "node", "fp"])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return cut(narrow.mapInArrow(run, "doc_id long, text_hash long, node long, fp binary"), "set-prints")
 
 
 def _exact_rows(fps: DataFrame) -> DataFrame:
@@ -198,12 +212,12 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 
 def _grouped(fps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Documents with the smallest doc_id of their component; ``nodes`` has (fp, first) and maybe ``node``, its id in ``edges``."""
+    """Documents with the smallest doc_id of their component; ``nodes`` has (fp or node, first)."""
     node = "node" if "node" in nodes.columns else "fp"
     reached = components(edges.select("a", "b")).select(F.col("id").alias(node), "component")
     labelled = nodes.join(reached, node, "left").withColumn("component", F.coalesce("component", node))
     first = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    return fps.join(labelled.join(first, "component").select("fp", "component_id"), "fp")
+    return fps.join(labelled.join(first, "component").select(node, "component_id"), node)
 
 
 def _bits(similarity: float) -> float:
@@ -214,32 +228,25 @@ def _bits(similarity: float) -> float:
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = 5, similarity: float = 0.8, tables: int = 5) -> DataFrame:
     """(doc_id, component_id): documents whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Fingerprints have 256 bits.  ``tables`` pairs of segments give joint Golay codewords as keys.  Of the pairs that
-    share one, those with few differing bits are links, those with too many are not, and those between are decided
-    by their shingles, unless links connect them anyhow.  Of the open pairs in a block a spanning forest of the fewest
+    Texts with one set are a node.  Nodes have fingerprints of 256 bits; ``tables`` pairs of segments give joint Golay
+    codewords as keys.  Of the pairs that share one, those with too many differing bits are not links; the others are
+    decided by their sets, unless links connect them anyhow.  Of the open pairs in a block a spanning forest of the fewest
     differing bits is decided, so their number does not grow with the square of a group.  Texts without words differ from all texts but each other;
     null ids as in :func:`simhash_groups`.
     """
-    fps = fingerprints(docs, text_col, id_col, shingle=shingle, lanes=4)
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")).withColumn("node", F.xxhash64("fp")), "near-nodes")
-    sure = int(_bits(1 - (1 - similarity) / 4))
+    prints = _set_prints(docs, text_col, id_col, shingle)
+    nodes = cut(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")), "near-nodes")
     most = int(_bits(similarity) + 2.5 * np.sqrt(_bits(similarity) * (1 - _bits(similarity) / 256)))
 
     def verify(table: dict, i: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        distance = np.full(len(i), 256)
+        distance = np.full(len(i), 257)
         ok = table["id"][i] < table["id"][q]
         distance[ok] = np.bitwise_count(table["fp"][i[ok]] ^ table["fp"][q[ok]]).sum(axis=1)
-        return distance <= sure, (distance > sure) & (distance <= most), distance
-
-    found = cut(linked(_near_rows(nodes.select("node", "fp"), tables), verify, _with_bits, block=BLOCK), "near-links")
-    links = found.filter("n IS NULL").select("a", "b")
-    reached = components(links)
-    unsure = found.filter("n = -1").select("a", "b").distinct()
-    for side in "ab":
-        unsure = unsure.join(reached.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    unsure = cut(unsure.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "near-unsure")
-    links = links.union(_similar(docs.select(F.col(text_col).alias("text")), nodes, unsure, shingle, similarity))
-    return _grouped(fps.drop("text_hash"), nodes, links).select("doc_id", "component_id")
+        return np.zeros(len(i), bool), distance <= most, distance
+
+    unsure = cut(linked(_near_rows(nodes.select("node", "fp"), tables), verify, _with_bits, block=BLOCK).filter("n = -1").select("a", "b").distinct(), "near-unsure")
+    links = _similar(docs.select(F.col(text_col).alias("text")), nodes, unsure, shingle, similarity)
+    return _grouped(prints.select("doc_id", "node"), nodes.select("node", "first"), links).select("doc_id", "component_id")
 
 
 def _similar(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:

@@ -110,6 +110,16 @@ def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_are_held_against_sets(spark):
+    rng = np.random.default_rng(3)
+    own = lambda: " ".join(f"w{k}" for k in rng.integers(0, 10**9, 300))
+    line = " ".join(["again and again the line"] * 140)
+    once = own()
+    rows = [(1, f"{own()} {line}"), (2, f"{own()} {line}"), (3, f"{own()} " + "same " * 700), (4, f"{own()} " + "same " * 700), (5, f"{once} {once} {once[: once.index(' ', 1500)]}"), (6, f"{once} {once}")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+
+
 def test_near_duplicates_of_five_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     base = " ".join(r.text for r in docs[:1]).split()[:200]
