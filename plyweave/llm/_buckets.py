@@ -89,30 +89,8 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     return out.withColumn("bi", F.col("__at.bi")).withColumn("bj", F.col("__at.bj")).withColumn("role", F.col("__at.as").cast("byte")).drop("__at", "parts")
 
 
-def forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs in a spanning forest of least cost: fewer than there are ids."""
-    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    up, kept = list(range(len(ids))), []
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    u, v = flat[: len(a)].tolist(), flat[len(a) :].tolist()
-    for k in np.lexsort((b, a, cost)).tolist():
-        x, y = root(u[k]), root(v[k])
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            kept.append(k)
-            if len(kept) == len(ids) - 1:
-                break
-    return np.array(kept, np.int64)
-
-
-#: Which meetings are links, and maybe which are to be decided later and at what cost.
-Verify = Callable[[dict, np.ndarray, np.ndarray], np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Which meetings are links.
+Verify = Callable[[dict, np.ndarray, np.ndarray], np.ndarray]
 
 
 def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch], dict], *, block: int, weights: bool = False) -> DataFrame:
@@ -120,8 +98,8 @@ def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch],
 
     ``columns`` turns a batch into named arrays, ``verify`` tells which (index, query) row numbers are
     links; it must accept a pair once over all buckets if ``weights`` are wanted.  Returns rows (a, b, n):
-    with n null an edge, ``b`` the smaller id; with n -1 a pair to be decided, of those that links at hand do not
-    connect already a spanning forest of the least costs, so fewer pairs than ids; else id ``a`` has links to rows of ``n`` in weight.
+    with n null an edge, ``b`` the smaller id; else id ``a`` has links to rows of ``n`` in weight.  The table that ``verify``
+    gets is the same for all meetings of some whole buckets, so it can keep there what it has found.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,43 +108,27 @@ def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch],
         def links(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             key = np.stack([batch.column(c).to_numpy() for c in ("key", "bi", "bj")], axis=1)
             role = batch.column("role").to_numpy()
-            table, found, open_ = columns(batch), [], []
+            table, found = columns(batch), []
             for i, q in bucket_pairs(key, role):
                 ok = verify(table, i, q)
-                if isinstance(ok, tuple):
-                    ok, unsure, cost = ok
-                    if unsure.any():
-                        open_.append((i[unsure], q[unsure], cost[unsure]))
                 if ok.any():
                     found.append((i[ok], q[ok]))
-                if sum(len(x[0]) for x in found + open_) > PAIRS_AT_ONCE:
-                    yield from out(table, found, open_)
-                    found, open_ = [], []
-            if found or open_:
-                yield from out(table, found, open_)
-
-        def out(table: dict, found: list, open_: list) -> Iterator[pa.RecordBatch]:
-            none = [(np.zeros(0, np.int64),) * 2]
-            i, q = (np.concatenate(x) for x in zip(*(found or none), strict=True))
+                if sum(len(x[0]) for x in found) > PAIRS_AT_ONCE:
+                    yield out(table, found)
+                    found = []
+            if found:
+                yield out(table, found)
+
+        def out(table: dict, found: list) -> pa.RecordBatch:
+            i, q = (np.concatenate(x) for x in zip(*found, strict=True))
             a, b = stars(table["id"][i], table["id"][q])
-            if open_:
-                x, y, cost = (np.concatenate(c) for c in zip(*open_, strict=True))
-                x, y = table["id"][x], table["id"][y]
-                rx, ry = x, y
-                if len(a):
-                    root = lambda c: np.where(a[at := np.minimum(np.searchsorted(a, c), len(a) - 1)] == c, b[at], c)
-                    rx, ry = root(x), root(y)
-                far = np.flatnonzero(rx != ry)
-                far = far[forest(rx[far], ry[far], cost[far])] if len(far) else far
-                pairs = np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[far]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), -1, np.int64))], ["a", "b", "n"])
             n = np.zeros(len(a), np.int64)
             edge = np.ones(len(a), bool)
             if weights:
                 ids, flat = np.unique(np.concatenate([table["id"][i], table["id"][q]]), return_inverse=True)
                 sums = np.bincount(flat, np.concatenate([table["weight"][q], table["weight"][i]]), len(ids)).astype(np.int64)
                 a, b, n, edge = np.append(a, ids), np.append(b, ids), np.append(n, sums), np.append(edge, np.zeros(len(ids), bool))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n, mask=edge)], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n, mask=edge)], ["a", "b", "n"])
 
         for batch in batches:
             if not batch.num_rows:

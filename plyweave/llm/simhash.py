@@ -8,7 +8,7 @@ fingerprint are its keys, about five each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations, permutations
 
@@ -27,6 +27,8 @@ GENERATOR = 0b110001110101
 SEED = 42
 #: Index rows of a bucket in one block.
 BLOCK = 4096
+#: The same where rows hold sets of shingles, and pairs that are decided before the links found are looked at again.
+SET_BLOCK, AT_ONCE = 1024, 4096
 
 
 @cache
@@ -229,51 +231,72 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """(doc_id, component_id): documents whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more are linked.
 
     Texts with one set are a node.  Nodes have fingerprints of 256 bits; ``tables`` pairs of segments give joint Golay
-    codewords as keys.  Of the pairs that share one, those with too many differing bits are not links; the others are
-    decided by their sets, unless links connect them anyhow.  Of the open pairs in a block a spanning forest of the fewest
-    differing bits is decided, so their number does not grow with the square of a group.  Texts without words differ from all texts but each other;
+    codewords as keys.  Pairs that share one and differ in few enough bits make candidate groups; within those every pair is
+    compared by its sets, unless links connect it anyhow.  Texts without words differ from all texts but each other;
     null ids as in :func:`simhash_groups`.
     """
     prints = _set_prints(docs, text_col, id_col, shingle)
     nodes = cut(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")), "near-nodes")
     most = int(_bits(similarity) + 2.5 * np.sqrt(_bits(similarity) * (1 - _bits(similarity) / 256)))
 
-    def verify(table: dict, i: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        distance = np.full(len(i), 257)
+    def near(table: dict, i: np.ndarray, q: np.ndarray) -> np.ndarray:
         ok = table["id"][i] < table["id"][q]
-        distance[ok] = np.bitwise_count(table["fp"][i[ok]] ^ table["fp"][q[ok]]).sum(axis=1)
-        return np.zeros(len(i), bool), distance <= most, distance
-
-    unsure = cut(linked(_near_rows(nodes.select("node", "fp"), tables), verify, _with_bits, block=BLOCK).filter("n = -1").select("a", "b").distinct(), "near-unsure")
-    links = _similar(docs.select(F.col(text_col).alias("text")), nodes, unsure, shingle, similarity)
+        ok[ok] = np.bitwise_count(table["fp"][i[ok]] ^ table["fp"][q[ok]]).sum(axis=1) <= most
+        return ok
+
+    groups = cut(components(linked(_near_rows(nodes.select("node", "fp"), tables), near, _with_bits, block=BLOCK).select("a", "b")).withColumnRenamed("id", "node"), "near-groups")
+    sets = _sets(docs.select(F.col(text_col).alias("text")), nodes.join(groups, "node", "left_semi").select("node", "text_hash"), shingle)
+    rows = groups.join(sets, "node").join(nodes.select("node", "fp"), "node")
+    rows = rows.select(F.col("component").alias("key"), F.lit(BOTH).cast("byte").alias("role"), F.col("node").alias("id"), "fp", "shingles")
+    links = linked(rows, _decide(similarity, most), _with_sets, block=SET_BLOCK)
     return _grouped(prints.select("doc_id", "node"), nodes.select("node", "first"), links).select("doc_id", "component_id")
 
 
-def _similar(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles, as 32-bit hashes, are similar enough."""
+def _with_sets(batch: pa.RecordBatch) -> dict:
+    ids, flat = np.unique(batch.column("id").to_numpy(), return_inverse=True)
+    sets = batch.column("shingles")
+    return _with_bits(batch) | {"flat": flat, "label": np.arange(len(ids)), "sets": sets, "size": np.array([len(x.as_py()) // 4 for x in sets], np.int64)}
+
+
+def _decide(similarity: float, most: int) -> Callable[[dict, np.ndarray, np.ndarray], np.ndarray]:
+    """Of the pairs of differing bits up to ``most`` those whose sets are similar enough, without such as earlier ones connect; least bits first."""
+
+    def verify(table: dict, i: np.ndarray, q: np.ndarray) -> np.ndarray:
+        flat, label, size, sets = (table[c] for c in ("flat", "label", "size", "sets"))
+        small, large = np.minimum(size[i], size[q]), np.maximum(size[i], size[q])
+        some = np.flatnonzero((table["id"][i] < table["id"][q]) & (small >= similarity * large))
+        distance = np.bitwise_count(table["fp"][i[some]] ^ table["fp"][q[some]]).sum(axis=1)
+        some = some[np.argsort(distance, kind="stable")[: int((distance <= most).sum())]]
+        keep = np.zeros(len(i), bool)
+        for at in range(0, len(some), AT_ONCE):
+            part = some[at : at + AT_ONCE]
+            for k in part[label[flat[i[part]]] != label[flat[q[part]]]].tolist():
+                x, y = label[flat[i[k]]], label[flat[q[k]]]
+                if x == y:
+                    continue
+                one, two = (np.frombuffer(sets[int(r)].as_py(), "<u4") for r in (i[k], q[k]))
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                if common >= similarity * (len(one) + len(two) - common):
+                    keep[k] = True
+                    label[label == y] = x
+        return keep
+
+    return verify
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the sets of shingles of ``wanted`` (node, text_hash), as sorted 32-bit hashes."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(_shingle_hashes(x.as_py(), shingle) >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(one.as_py(), "<u4"), np.frombuffer(two.as_py(), "<u4")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "text_hash")
     wanted = cut(wanted, "near-wanted")
     if wanted.count() <= 1_000_000:  # 16 MB at most
         wanted = F.broadcast(wanted)
     own = texts.withColumn("text_hash", F.xxhash64("text")).join(wanted, "text_hash").select("node", "text")
-    sets = cut(own.mapInArrow(collect, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    return cut(own.mapInArrow(collect, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:

@@ -120,6 +120,33 @@ def test_near_duplicates_are_held_against_sets(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
 
 
+def brute_near(texts, similarity=0.8):
+    """Smallest number of each text's component, by all pairs of sets of five words."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if label[a] != label[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    return label
+
+
+def test_near_duplicates_of_edited_copies(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(400)]
+        for c in range(40):
+            own = list(base)
+            for k in rng.choice(400, int(rng.integers(2, 9)), replace=False):
+                own[k] = f"g{g}c{c}e{k}"
+            texts.append(" ".join(own))
+    want = brute_near(texts)
+    assert 20 < len(set(want)) < len(texts) - 20
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_near_duplicates_of_five_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     base = " ".join(r.text for r in docs[:1]).split()[:200]
