@@ -29,6 +29,8 @@ SEED = 42
 BLOCK = 4096
 #: The same where rows hold sets of shingles, and pairs that are decided before the links found are looked at again.
 SET_BLOCK, AT_ONCE = 1024, 4096
+#: Least hashes of a set: so many bands of so many make its keys.  Sets at a similarity of 0.8 share one with a probability of 0.9998.
+BANDS, WIDE = 16, 4
 
 
 @cache
@@ -104,6 +106,18 @@ def _mixed(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's least hashes; sets at a similarity of s share one band with the probability s ** WIDE."""
+    least = np.full(BANDS * WIDE, np.iinfo(np.uint64).max)
+    salts = np.arange(5, 5 + BANDS * WIDE, dtype=np.uint64)[:, None]
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, _mixed(hashes[None, at : at + 4096], salts).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, WIDE).T:
+        keys = _mixed(keys ^ column, 1)
+    return keys.view(np.int64)
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> bytes:
     """64 bits of the shingles, repeats included."""
     return _majority(_shingle_hashes(text, shingle))
@@ -123,17 +137,17 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def _set_prints(docs: DataFrame, text_col: str, id_col: str, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, node, fp): ``node`` is a hash of the text's set of shingles, ``fp`` 256 bits of that set; repeats do not count."""
+    """(doc_id, text_hash, node, fp, bands): ``node`` is a hash of the text's set of shingles, ``fp`` 256 bits and ``bands`` keys of that set; repeats do not count."""
     steady_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(_shingle_hashes(x.as_py(), shingle)) for x in batch.column(2)]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes), pa.array([_majority(x, 4) for x in sets], pa.binary())], ["doc_id", "text_hash", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes), pa.array([_majority(x, 4) for x in sets], pa.binary()), pa.array([_bands(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "fp", "bands"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return cut(narrow.mapInArrow(run, "doc_id long, text_hash long, node long, fp binary"), "set-prints")
+    return cut(narrow.mapInArrow(run, "doc_id long, text_hash long, node long, fp binary, bands array<long>"), "set-prints")
 
 
 def _exact_rows(fps: DataFrame) -> DataFrame:
@@ -165,25 +179,6 @@ def _exact_rows(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(run, "key long, role byte, id long")
 
 
-def _near_rows(fps: DataFrame, tables: int) -> DataFrame:
-    """Keys for links between longer fingerprints: in each of ``tables`` pairs of segments, all joint codewords within 4 bits of both."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in batch.column(1)])
-            bits = np.unpackbits(fp, axis=1).astype(np.int64)
-            power = 1 << np.arange(WORD, dtype=np.int64)
-            near = [golay_keys(bits[:, s * WORD : (s + 1) * WORD] @ power)[1] for s in range(2 * tables)]
-            ids = batch.column(0).to_numpy()
-            for t in range(tables):
-                one, two = near[2 * t], near[2 * t + 1]
-                joint = np.where((one[:, :, None] >= 0) & (two[:, None, :] >= 0), np.int64(t) << 24 | one[:, :, None] << 12 | two[:, None, :], -1).reshape(len(ids), -1)
-                row, col = np.nonzero(joint >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(joint[row, col]), pa.array(np.full(len(row), BOTH, np.int8)), pa.array(ids[row]), batch.column(1).take(pa.array(row))], ["key", "role", "id", "fp"])
-
-    return fps.mapInArrow(run, "key long, role byte, id long, fp binary")
-
-
 def _own(batch: pa.RecordBatch) -> dict:
     return {"id": batch.column("id").to_numpy()}
 
@@ -227,24 +222,26 @@ def _bits(similarity: float) -> float:
     return 256 * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = 5, similarity: float = 0.8, tables: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): documents whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Texts with one set are a node.  Nodes have fingerprints of 256 bits; ``tables`` pairs of segments give joint Golay
-    codewords as keys.  Pairs that share one and differ in few enough bits make candidate groups; within those every pair is
-    compared by its sets, unless links connect it anyhow.  Texts without words differ from all texts but each other;
+    Texts with one set are a node.  Nodes have fingerprints of 256 bits; keys are bands of least hashes (:func:`_bands`), since
+    joint Golay codewords miss too many pairs at 0.8 unless each text has hundreds.  Pairs that share a key and differ in few
+    enough bits make candidate groups; within those every pair is compared by its sets, unless links connect it anyhow.
+    A pair at 0.8 that no other text joins is missed with a probability of about 0.0002.  Texts without words differ from all texts but each other;
     null ids as in :func:`simhash_groups`.
     """
     prints = _set_prints(docs, text_col, id_col, shingle)
-    nodes = cut(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")), "near-nodes")
-    most = int(_bits(similarity) + 2.5 * np.sqrt(_bits(similarity) * (1 - _bits(similarity) / 256)))
+    nodes = cut(prints.groupBy("node", "fp", "bands").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")), "near-nodes")
+    most = int(_bits(similarity) + 4.5 * np.sqrt(_bits(similarity) * (1 - _bits(similarity) / 256)))
 
     def near(table: dict, i: np.ndarray, q: np.ndarray) -> np.ndarray:
         ok = table["id"][i] < table["id"][q]
         ok[ok] = np.bitwise_count(table["fp"][i[ok]] ^ table["fp"][q[ok]]).sum(axis=1) <= most
         return ok
 
-    groups = cut(components(linked(_near_rows(nodes.select("node", "fp"), tables), near, _with_bits, block=BLOCK).select("a", "b")).withColumnRenamed("id", "node"), "near-groups")
+    rows = nodes.select(F.explode("bands").alias("key"), F.lit(BOTH).cast("byte").alias("role"), F.col("node").alias("id"), "fp")
+    groups = cut(components(linked(rows, near, _with_bits, block=BLOCK).select("a", "b")).withColumnRenamed("id", "node"), "near-groups")
     sets = _sets(docs.select(F.col(text_col).alias("text")), nodes.join(groups, "node", "left_semi").select("node", "text_hash"), shingle)
     rows = groups.join(sets, "node").join(nodes.select("node", "fp"), "node")
     rows = rows.select(F.col("component").alias("key"), F.lit(BOTH).cast("byte").alias("role"), F.col("node").alias("id"), "fp", "shingles")

@@ -147,6 +147,23 @@ def test_near_duplicates_of_edited_copies(spark):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_near_duplicates_of_lone_pairs(spark):
+    """Pairs at a similarity of 0.80 to 0.85 and no other copies: brute force links all of them."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for g in range(1500):
+        base = [f"g{g}w{k}" for k in range(364)]
+        cut = int(rng.integers(27, 37))
+        texts += [" ".join(base[: 364 - cut]), " ".join(base[cut:])]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = range(0, len(texts), 2)
+    assert all(0.8 <= len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) <= 0.85 for k in near)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = sum(got[k] == got[k + 1] for k in near)
+    print("recall", found, len(near))
+    assert found >= 0.999 * len(near)
+
+
 def test_near_duplicates_of_five_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     base = " ".join(r.text for r in docs[:1]).split()[:200]
