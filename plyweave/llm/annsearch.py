@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors are lengthened by one component so that the largest inner product is the smallest angle, rotated
-by a learned rotation (iterative quantization) and cut to signs.  Codes are split into substrings with an
-index each.  A code within R bits of a query is within R / m bits of it in one of m substrings, so probing
-every substring value that near retrieves all codes within the radius; these are ranked by float products.
+by a learned rotation (iterative quantization) and cut to signs.  Codes are split into substrings.
+A code within R bits of a query is within R / m bits of it in one of m substrings; the codes of all rows are
+looked through for that, and those within the radius are ranked by float products.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def fit(sample: np.ndarray, longest: float, *, rounds: int = 30, recall: float =
 def probe(query: np.ndarray, rows: np.ndarray, radius: int) -> np.ndarray:
     """(queries, rows): whether a code is within ``radius`` of a query.
 
-    For each substring the rows are listed by value; the values near enough to the query's are probed.  With R =
+    Every row of a block is looked at: a table gives the distance of each substring from the query's.  With R =
     m * r + a, the first a + 1 substrings are probed to distance r and the others to r - 1, which misses nothing.
     """
     m = rows.shape[1]
@@ -106,7 +106,8 @@ def search(
     Every other usable row is a candidate; ties go to the smaller id.  Null, zero and non-finite vectors and null ids
     take no part; all vectors must have one length.  Rows with a query's own id are not its candidates; other
     repeated rows are candidates each.  The model is fitted on at most ``sample`` rows (those with the smallest
-    hashes of their ids); every row is indexed.  Rows and queries meet in blocks, so no task holds all of either.
+    hashes of their ids); every row has a code.  A query with fewer than ``k`` rows of a
+    block inside the radius has it enlarged there, so ``k`` rows are returned wherever there are as many.  Rows and queries meet in blocks, so no task holds all of either.
     """
     spark = vectors.sparkSession
     ok = cut(vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")), "vectors")
@@ -132,7 +133,12 @@ def search(
         row_codes, query_codes = codes(_lengthened(x, model.longest), model.rotation), codes(_query_form(y), model.rotation)
         for at in range(0, len(y) if len(x) else 0, 128):
             to = slice(at, at + 128)
-            near = probe(query_codes[to], row_codes, model.radius) & (x_id[None, :] != y_id[to, None])
+            other = x_id[None, :] != y_id[to, None]
+            near = probe(query_codes[to], row_codes, model.radius) & other
+            radius, bits = model.radius, row_codes.shape[1] * SUBSTRING_BITS
+            while radius < bits and len(few := np.flatnonzero(near.sum(axis=1) < np.minimum(k, other.sum(axis=1)))):
+                radius = min(radius + row_codes.shape[1], bits)
+                near[few] = probe(query_codes[to][few], row_codes, radius) & other[few]
             rough = np.where(near, y[to] @ x.T, -np.inf)
             if rough.shape[1] > k:
                 least = np.partition(rough, -k, axis=1)[:, -k]

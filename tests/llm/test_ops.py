@@ -286,6 +286,13 @@ def test_search(spark):
     assert annsearch.search(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_search_enlarges_a_small_radius(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.standard_normal(16).tolist()) for k in range(300)]
+    got = annsearch.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, recall=0.0).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {k: 20 for k in range(0, 300, 20)}
+
+
 def test_probe_retrieves_the_radius():
     rng = np.random.default_rng(2)
     q, r = rng.integers(0, 256, (20, 8), np.uint8), rng.integers(0, 256, (300, 8), np.uint8)
