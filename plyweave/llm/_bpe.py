@@ -2,8 +2,8 @@
 
 Byte-level BPE never merges across the pre-tokens that its pattern cuts.  The cuts are found with
 numpy over code points, whose classes are asked of the library's own pre-tokenizer; a table keeps the
-ids of pre-tokens that were seen.  Texts with code points beyond the table of classes go through the
-library whole.
+ids of pre-tokens that were seen.  Texts with code points beyond the table of classes, and texts that hold a
+token which the vocabulary adds (as ``<|endoftext|>``), go through the library whole.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.plain = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         if self.plain:
             cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -56,7 +56,7 @@ class Encoder:
                 chars += len(texts[to])
                 to += 1
             some = texts[at:to]
-            if self.plain and all(x.isascii() or max(x) < chr(LIMIT) for x in some):
+            if self.plain and all((x.isascii() or max(x) < chr(LIMIT)) and not any(t in x for t in self.added) for x in some):
                 i, c = self._chunk(some)
             elif len(some) > 1:
                 parts = [self.encode([x]) for x in some]
