@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import cut
@@ -89,6 +89,45 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     return out.withColumn("bi", F.col("__at.bi")).withColumn("bj", F.col("__at.bj")).withColumn("role", F.col("__at.as").cast("byte")).drop("__at", "parts")
 
 
+def split(rows: DataFrame, id_col: str, size: Column, most: int) -> DataFrame:
+    """``rows`` (key, ...) with ``one`` and ``two``: groups that any two rows of a key share at least one of.
+
+    A key whose sizes sum to ``most`` or less is one group.  A larger one is cut into parts by a hash of its ids, and each two
+    parts are a group of ``most`` or about that, so every pair of rows still meets and no task holds more.
+    """
+    heavy = cut(rows.groupBy("key").agg(F.sum(size).alias("n")).filter(F.col("n") > most).select("key", F.ceil(2 * F.col("n") / most).cast("int").alias("parts")), "heavy-keys")
+    known = heavy.count()
+    if not known:
+        return rows.withColumn("one", F.lit(0)).withColumn("two", F.lit(0))
+    rows = rows.join(F.broadcast(heavy) if known <= 100_000 else heavy, "key", "left")
+    own = F.pmod(F.xxhash64(id_col), "parts").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != own)
+    places = F.transform(others, lambda x: F.struct(F.least(own, x).alias("one"), F.greatest(own, x).alias("two")))
+    places = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("two")))).otherwise(places)
+    out = rows.withColumn("__at", F.explode(places))
+    return out.withColumn("one", F.col("__at.one")).withColumn("two", F.col("__at.two")).drop("__at", "parts")
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, which are sorted by ``names``, cut so that no bucket is divided between two of them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.logical_or.reduce([batch.column(c).to_numpy()[1:] != batch.column(c).to_numpy()[:-1] for c in names])
+        goes_on = bool(rest) and all(rest[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in names)
+        last = int(np.flatnonzero(new)[-1])  # the last bucket may go on in the next batch
+        if goes_on and not last:
+            rest.append(batch)
+            continue
+        if rest or last:
+            yield pa.Table.from_batches([*rest, batch.slice(0, last)]).combine_chunks().to_batches()[0]
+        rest = [batch.slice(last)]
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
 #: Which meetings are links.
 Verify = Callable[[dict, np.ndarray, np.ndarray], np.ndarray]
 
@@ -103,8 +142,6 @@ def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch],
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-
         def links(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             key = np.stack([batch.column(c).to_numpy() for c in ("key", "bi", "bj")], axis=1)
             role = batch.column("role").to_numpy()
@@ -130,20 +167,8 @@ def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch],
                 a, b, n, edge = np.append(a, ids), np.append(b, ids), np.append(n, sums), np.append(edge, np.zeros(len(ids), bool))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n, mask=edge)], ["a", "b", "n"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            whole = pa.Table.from_batches([*rest, batch]).combine_chunks()
-            last = [whole.column(c)[-1].as_py() for c in ("key", "bi", "bj")]
-            same = np.logical_and.reduce([whole.column(c).to_numpy() == x for c, x in zip(("key", "bi", "bj"), last, strict=True)])
-            at = int(np.argmax(same))  # the last bucket may go on in the next batch
-            if at:
-                yield from links(whole.slice(0, at).combine_chunks().to_batches()[0])
-                rest = whole.slice(at).combine_chunks().to_batches()
-            else:
-                rest = [*rest, batch]
-        if rest:
-            yield from links(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
+        for batch in whole_buckets(batches, ("key", "bi", "bj")):
+            yield from links(batch)
 
     dealt = _dealt(rows, block).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "role")
     return dealt.mapInArrow(run, "a long, b long, n long")

@@ -8,7 +8,7 @@ fingerprint are its keys, about five each.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from itertools import combinations, permutations
 
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._buckets import BOTH, INDEX, QUERY, components, linked
+from ._buckets import BOTH, INDEX, QUERY, bucket_pairs, components, linked, split, stars, whole_buckets
 from ._shared import cut, steady_batches
 
 WORD, DATA = 23, 12
@@ -27,8 +27,8 @@ GENERATOR = 0b110001110101
 SEED = 42
 #: Index rows of a bucket in one block.
 BLOCK = 4096
-#: The same where rows hold sets of shingles, and pairs that are decided before the links found are looked at again.
-SET_BLOCK, AT_ONCE = 1024, 4096
+#: The near-duplicates of a band key, and the bytes of sets of a candidate group, that one task takes; keys with up to so many rows have their pairs listed.
+BLOCK_ROWS, GROUP_BYTES, FEW = 32_768, 32 << 20, 64
 #: Least hashes of a set: so many bands of so many make its keys.  Sets at a similarity of 0.8 share one with a probability of 0.9998.
 BANDS, WIDE = 16, 4
 
@@ -183,11 +183,6 @@ def _own(batch: pa.RecordBatch) -> dict:
     return {"id": batch.column("id").to_numpy()}
 
 
-def _with_bits(batch: pa.RecordBatch) -> dict:
-    fp = np.stack([np.frombuffer(x, np.uint64) for x in batch.column("fp").to_pylist()])
-    return {"id": batch.column("id").to_numpy(), "fp": fp}
-
-
 def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): documents whose 64-bit fingerprints differ in ``max_bits`` (0 to 2) bits at most are linked.
 
@@ -226,74 +221,167 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """(doc_id, component_id): documents whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more are linked.
 
     Texts with one set are a node.  Nodes have fingerprints of 256 bits; keys are bands of least hashes (:func:`_bands`), since
-    joint Golay codewords miss too many pairs at 0.8 unless each text has hundreds.  Pairs that share a key and differ in few
-    enough bits make candidate groups; within those every pair is compared by its sets, unless links connect it anyhow.
+    joint Golay codewords miss too many pairs at 0.8 unless each text has hundreds.  Nodes that share a key and differ in few
+    enough bits are put into one candidate group; within it the sets alone decide, see :func:`set_components`.
     A pair at 0.8 that no other text joins is missed with a probability of about 0.0002.  Texts without words differ from all texts but each other;
     null ids as in :func:`simhash_groups`.
     """
     prints = _set_prints(docs, text_col, id_col, shingle)
     nodes = cut(prints.groupBy("node", "fp", "bands").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")), "near-nodes")
     most = int(_bits(similarity) + 4.5 * np.sqrt(_bits(similarity) * (1 - _bits(similarity) / 256)))
-
-    def near(table: dict, i: np.ndarray, q: np.ndarray) -> np.ndarray:
-        ok = table["id"][i] < table["id"][q]
-        ok[ok] = np.bitwise_count(table["fp"][i[ok]] ^ table["fp"][q[ok]]).sum(axis=1) <= most
-        return ok
-
-    rows = nodes.select(F.explode("bands").alias("key"), F.lit(BOTH).cast("byte").alias("role"), F.col("node").alias("id"), "fp")
-    groups = cut(components(linked(rows, near, _with_bits, block=BLOCK).select("a", "b")).withColumnRenamed("id", "node"), "near-groups")
-    sets = _sets(docs.select(F.col(text_col).alias("text")), nodes.join(groups, "node", "left_semi").select("node", "text_hash"), shingle)
-    rows = groups.join(sets, "node").join(nodes.select("node", "fp"), "node")
-    rows = rows.select(F.col("component").alias("key"), F.lit(BOTH).cast("byte").alias("role"), F.col("node").alias("id"), "fp", "shingles")
-    links = linked(rows, _decide(similarity, most), _with_sets, block=SET_BLOCK)
-    return _grouped(prints.select("doc_id", "node"), nodes.select("node", "first"), links).select("doc_id", "component_id")
+    groups = cut(components(_near_edges(nodes, most)).select(F.col("id").alias("node"), "component"), "near-groups")
+    sets = _sets(docs.select(F.col(text_col).alias("text")), nodes.join(groups, "node").select("node", "component", "text_hash"), shingle)
+    return _grouped(prints.select("doc_id", "node"), nodes.select("node", "first"), _set_edges(sets, similarity)).select("doc_id", "component_id")
 
 
-def _with_sets(batch: pa.RecordBatch) -> dict:
-    ids, flat = np.unique(batch.column("id").to_numpy(), return_inverse=True)
-    sets = batch.column("shingles")
-    return _with_bits(batch) | {"flat": flat, "label": np.arange(len(ids)), "sets": sets, "size": np.array([len(x.as_py()) // 4 for x in sets], np.int64)}
+def _near_edges(nodes: DataFrame, most: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes of each band key whose fingerprints differ in ``most`` bits at most."""
 
-
-def _decide(similarity: float, most: int) -> Callable[[dict, np.ndarray, np.ndarray], np.ndarray]:
-    """Of the pairs of differing bits up to ``most`` those whose sets are similar enough, without such as earlier ones connect; least bits first."""
-
-    def verify(table: dict, i: np.ndarray, q: np.ndarray) -> np.ndarray:
-        flat, label, size, sets = (table[c] for c in ("flat", "label", "size", "sets"))
-        small, large = np.minimum(size[i], size[q]), np.maximum(size[i], size[q])
-        some = np.flatnonzero((table["id"][i] < table["id"][q]) & (small >= similarity * large))
-        distance = np.bitwise_count(table["fp"][i[some]] ^ table["fp"][q[some]]).sum(axis=1)
-        some = some[np.argsort(distance, kind="stable")[: int((distance <= most).sum())]]
-        keep = np.zeros(len(i), bool)
-        for at in range(0, len(some), AT_ONCE):
-            part = some[at : at + AT_ONCE]
-            for k in part[label[flat[i[part]]] != label[flat[q[part]]]].tolist():
-                x, y = label[flat[i[k]]], label[flat[q[k]]]
-                if x == y:
-                    continue
-                one, two = (np.frombuffer(sets[int(r)].as_py(), "<u4") for r in (i[k], q[k]))
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                if common >= similarity * (len(one) + len(two) - common):
-                    keep[k] = True
-                    label[label == y] = x
-        return keep
-
-    return verify
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_buckets(batches, ("key", "one", "two")):
+            key = np.stack([batch.column(c).to_numpy() for c in ("key", "one", "two")], axis=1)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]).any(axis=1)
+            start = np.flatnonzero(new)
+            size = np.diff(start, append=len(key))
+            several = np.repeat(size > 1, size)
+            if not several.any():
+                continue
+            own, key = np.flatnonzero(several), key[several]
+            ids = batch.column("id").to_numpy()[own]
+            fp = np.frombuffer(b"".join(batch.column("fp").take(pa.array(own)).to_pylist()), np.uint64).reshape(-1, 4)
+            start, size = np.cumsum(size[size > 1]) - size[size > 1], size[size > 1]
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            few = np.flatnonzero(np.repeat(size <= FEW, size))
+            for i, q in bucket_pairs(key[few], np.full(len(few), BOTH, np.int8)):
+                i, q = few[i[i < q]], few[q[i < q]]
+                ok = np.bitwise_count(fp[i] ^ fp[q]).sum(axis=1) <= most
+                found.append((ids[i[ok]], ids[q[ok]]))
+            for at, n in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+                label = near_components(fp[at : at + n], most)
+                far = np.flatnonzero(label != np.arange(n))
+                found.append((ids[at + far], ids[at + label[far]]))
+            a, b = stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"), "fp")
+    return split(rows, "id", F.lit(1), BLOCK_ROWS).repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(run, "a long, b long")
+
+
+def near_components(fp: np.ndarray, most: int) -> np.ndarray:
+    """For each fingerprint the first one that steps of ``most`` bits at most lead to; one that is reached is not compared again."""
+    label = np.arange(len(fp))
+    rest = label.copy()
+    while len(rest):
+        root, rest = rest[0], rest[1:]
+        todo = [root]
+        while todo and len(rest):
+            near = np.bitwise_count(fp[rest] ^ fp[todo.pop()]).sum(axis=1) <= most
+            label[rest[near]] = root
+            todo.extend(rest[near].tolist())
+            rest = rest[~near]
+    return label
+
+
+def set_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of numbers the first one that links of ``similarity`` or more lead to; exact.
+
+    From a set that was reached, all that were not are looked at: two similar sets share one of the rarest numbers of either (so
+    many that the others could not make up the similarity), hence a list of sets by those numbers gives the candidates, and
+    the whole sets decide.  A group of alike copies is reached from its first, and pairs within it are never listed.
+    """
+    label = np.arange(len(sets))
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint32)
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    code = rank[code]
+    code = code[np.lexsort((code, np.repeat(label, size)))]
+    begin = np.cumsum(size) - size
+    rare = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+    member = np.zeros(len(often) + 1, bool)
+    left = np.ones(len(sets), bool)
+
+    def spans(which: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return np.repeat(begin[which] - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+    def listed() -> tuple[np.ndarray, np.ndarray]:
+        which = np.flatnonzero(left)
+        numbers, owner = code[spans(which, rare[which])], np.repeat(which, rare[which])
+        order = np.argsort(numbers, kind="stable")
+        return numbers[order], owner[order]
+
+    remain = held = len(sets)
+    numbers, owner = listed()
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root] = False
+        remain -= 1
+        todo = [root]
+        while todo and remain:
+            x = todo.pop()
+            if 2 * remain < held:
+                numbers, owner = listed()
+                held = remain
+            own = code[begin[x] : begin[x] + size[x]]
+            first = np.searchsorted(numbers, own[: rare[x]], "left")
+            many = np.searchsorted(numbers, own[: rare[x]], "right") - first
+            near = owner[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            near = np.unique(near[left[near]])
+            near = near[np.minimum(size[near], size[x]) >= similarity * np.maximum(size[near], size[x]) - 1e-9]
+            if not len(near):
+                continue
+            member[own] = True
+            ends = np.cumsum(size[near])
+            common = np.add.reduceat(member[code[spans(near, size[near])]].astype(np.int64), ends - size[near])
+            member[own] = False
+            hit = near[common >= similarity * (size[near] + size[x] - common) - 1e-9]
+            label[hit] = root
+            left[hit] = False
+            remain -= len(hit)
+            todo.extend(hit.tolist())
+    return label
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles): the sets of shingles of ``wanted`` (node, text_hash), as sorted 32-bit hashes."""
+    """(key, id, shingles): for the nodes of ``wanted`` (node, component, text_hash) their component and set, as sorted 32-bit hashes; a node may come once for each task."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [np.unique(_shingle_hashes(x.as_py(), shingle) >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+            fresh = [k for k, x in enumerate(batch.column(1).to_pylist()) if x not in seen and not seen.add(x)]
+            sets = [np.unique(_shingle_hashes(batch.column(2)[k].as_py(), shingle) >> np.uint64(32)).astype("<u4").tobytes() for k in fresh]
+            some = batch.take(pa.array(fresh, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.binary())], ["key", "id", "shingles"])
 
     wanted = cut(wanted, "near-wanted")
-    if wanted.count() <= 1_000_000:  # 16 MB at most
+    if wanted.count() <= 1_000_000:  # 24 MB at most
         wanted = F.broadcast(wanted)
-    own = texts.withColumn("text_hash", F.xxhash64("text")).join(wanted, "text_hash").select("node", "text")
-    return cut(own.mapInArrow(collect, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    own = texts.withColumn("text_hash", F.xxhash64("text")).join(wanted, "text_hash").select("component", "node", "text")
+    return cut(own.mapInArrow(collect, "key long, id long, shingles binary"), "near-sets")
+
+
+def _set_edges(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect what links between the sets of each key connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_buckets(batches, ("key", "one", "two")):
+            key = np.stack([batch.column(c).to_numpy() for c in ("key", "one", "two")], axis=1)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]).any(axis=1)
+            ids, a, b = batch.column("id").to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for start, end in zip(np.flatnonzero(new).tolist(), np.append(np.flatnonzero(new)[1:], len(key)).tolist(), strict=True):
+                own, first = np.unique(ids[start:end], return_index=True)
+                label = set_components([np.frombuffer(batch.column("shingles")[int(start + k)].as_py(), "<u4") for k in first], similarity)
+                a.append(own[label != np.arange(len(own))])
+                b.append(own[label[label != np.arange(len(own))]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    steady_batches(sets.sparkSession)
+    rows = split(sets, "id", F.length("shingles"), GROUP_BYTES)
+    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(run, "a long, b long")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:

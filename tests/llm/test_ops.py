@@ -9,13 +9,14 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from plyweave.llm import _buckets, annsearch, langid, lmscore, mixing, packing, pii, pivots, sharding, simhash, token_file
 from plyweave.llm._bpe import Encoder
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
-EDGE = [(None, "no id"), (10_001, None), (10_002, ""), (10_003, "   \n"), (10_004, "x"), (10_004, "x"), (10_005, "one two"), (10_006, "word " * 30_000), (10_007, "<|endoftext|> 中文 😀 don't")]
+EDGE = [(None, "no id"), (10_001, None), (10_002, ""), (10_003, "   \n"), (10_004, "x"), (10_004, "x"), (10_005, "one two"), (10_006, "word " * 30_000), (10_007, "<|endoftext|> 中文 😀 don't"), (10_008, "x <|endoftext|> y<|endoftext|><|endoftext|>")]
 
 
 @pytest.fixture(scope="module")
@@ -164,6 +165,37 @@ def test_near_duplicates_of_lone_pairs(spark):
     assert found >= 0.999 * len(near)
 
 
+def test_components_of_sets_equal_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        base = [rng.choice(400, int(rng.integers(1, 60)), replace=False) for _ in range(3)]
+        sets = []
+        for _ in range(int(rng.integers(1, 40))):
+            own = set(base[rng.integers(3)].tolist())
+            own -= set(rng.choice(400, int(rng.integers(0, 30))).tolist())
+            sets.append(np.array(sorted(own | set(rng.choice(400, int(rng.integers(0, 4))).tolist())), np.uint32))
+        link = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])) and len(sets[a])  # noqa: E731, B023
+        got = simhash.set_components(sets, 0.8).tolist()
+        assert got == brute_components(list(range(len(sets))), lambda a, b: a == b or link(a, b))
+    assert simhash.set_components([], 0.8).tolist() == []
+
+
+def test_near_duplicates_of_large_groups_in_parts(spark, monkeypatch):
+    """A group that is cut into parts has the same components as a whole one."""
+    rng = np.random.default_rng(13)
+    texts = []
+    for c in range(300):
+        own = [f"w{k}" for k in range(200)]
+        for k in rng.choice(200, int(rng.integers(1, 6)), replace=False):
+            own[k] = f"c{c}e{k}"
+        texts.append(" ".join(own))
+    want = brute_near(texts)
+    monkeypatch.setattr(simhash, "GROUP_BYTES", 40_000)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 50)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == want and len(set(want)) > 1
+
+
 def test_near_duplicates_of_five_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     base = " ".join(r.text for r in docs[:1]).split()[:200]
@@ -309,13 +341,13 @@ def test_encoder_equals_the_library():
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(2000)] + ["", "'", " ", "'s", "a's"]
     e = Encoder(BPE)
     ids, counts = e.encode(texts)
-    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [x.ids for x in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+    assert any(Tokenizer.from_file(BPE).token_to_id("<|endoftext|>") in x for x in want)
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
 def encoded(local):
-    e = Encoder(BPE)
-    return [[*x.ids, 2] for x in e.tokenizer.encode_batch([t or "" for _, t in local], add_special_tokens=False)]
+    return [[*x.ids, 2] for x in Tokenizer.from_file(BPE).encode_batch([t or "" for _, t in local], add_special_tokens=False)]
 
 
 def test_ranks_round_trip():
