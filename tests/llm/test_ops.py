@@ -318,19 +318,66 @@ def test_search(spark):
     assert annsearch.search(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
-def test_search_enlarges_a_small_radius(spark):
-    rng = np.random.default_rng(4)
-    rows = [(k, rng.standard_normal(16).tolist()) for k in range(300)]
-    got = annsearch.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, recall=0.0).groupBy("query_id").count().collect()
-    assert {r.query_id: r["count"] for r in got} == {k: 20 for k in range(0, 300, 20)}
+def brute_search(rows, k=20):
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and good(v)]
+    return {q: [i for _, i in sorted((-float(x @ y), i) for i, y in ok if i != q)[:k]] for q, x in ok if q % 20 == 0}
+
+
+def searched(spark, rows, **options):
+    got = {}
+    for r in annsearch.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, **options).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    return {q: [x[k] for k in range(1, len(x) + 1)] for q, x in got.items()}
+
 
+@pytest.mark.parametrize("n", [1, 2, 5, 10, 15, 20, 21, 30])
+def test_search_of_few(spark, n):
+    """With fewer rows than are asked for, all of them are found."""
+    rng = np.random.default_rng(n)
+    rows = [(k, rng.standard_normal(9).tolist()) for k in range(n)]
+    want = {q: x for q, x in brute_search(rows).items() if x}
+    got = searched(spark, rows)
+    assert {q: len(x) for q, x in got.items()} == {q: len(x) for q, x in want.items()}
+    if n <= 21:
+        assert got == want
 
-def test_probe_retrieves_the_radius():
+
+def test_search_of_outliers_and_clusters(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(16)
+    rows = [(k, rng.standard_normal(16).tolist()) for k in range(300)] + [(1000 + k, (centre + 1e-4 * rng.standard_normal(16)).tolist()) for k in range(400)]
+    rows += [(2000 + 20 * k, (1e3 * rng.standard_normal(16)).tolist()) for k in range(3)] + [(2100, [1e300] * 16), (2120, [1e-300] * 16), (2140, [1.0, 2.0]), (2141, [3.0])]
+    want, got = brute_search([(i, [*v, *[0.0] * (16 - len(v))]) for i, v in rows]), searched(spark, rows, recall=0.5)
+    assert {q: len(x) for q, x in got.items()} == {q: 20 for q in want}
+    hits = [len(set(got[q]) & set(want[q])) for q in want if q < 2000]
+    assert sum(hits) >= 0.5 * 20 * len(hits)
+
+
+def test_search_recall(spark):
+    """Against brute force on whole test tables."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    x = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    got = {}
+    for r in annsearch.search_digest(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in got:
+        score = x @ x[ids == q][0]
+        score[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.argsort(-score)[:20]].tolist()))
+    print("recall", hits / (20 * len(got)))
+    assert hits >= 0.9 * 20 * len(got) and set(got) == {i for i in ids.tolist() if i % 20 == 0}
+
+
+def test_index_retrieves_the_radius():
     rng = np.random.default_rng(2)
     q, r = rng.integers(0, 256, (20, 8), np.uint8), rng.integers(0, 256, (300, 8), np.uint8)
     distance = np.bitwise_count(q[:, None] ^ r[None]).sum(axis=2)
-    for radius in (0, 7, 8, 20, 33):
-        assert (annsearch.probe(q, r, radius) == (distance <= radius)).all()
+    index = annsearch.Index(r)
+    for radius in (0, 7, 8, 20, 33, 64, 80):
+        assert all((index.within(x, radius) == np.flatnonzero(d <= radius)).all() for x, d in zip(q, distance, strict=True))
+    assert len(annsearch.Index(r[:0]).within(q[0], 64)) == 0
 
 
 def test_encoder_equals_the_library():
