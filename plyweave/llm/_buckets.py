@@ -68,25 +68,32 @@ def bucket_pairs(key: np.ndarray, role: np.ndarray) -> Iterator[tuple[np.ndarray
         at = to
 
 
-def _dealt(rows: DataFrame, block: int) -> DataFrame:
-    """Rows with block numbers: a bucket of n index rows is cut into n / ``block`` parts on both sides."""
-    sizes = rows.filter(F.col("role") <= BOTH).groupBy("key").count().filter(F.col("count") > block)
-    hot = cut(sizes.select("key", F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot-buckets")
+def _dealt(rows: DataFrame, block: int, heavy_queries: bool) -> DataFrame:
+    """Rows with block numbers: a bucket's index rows are cut into parts of about ``block``, and so are its query rows, and each part meets each.
+
+    Query rows are counted only with ``heavy_queries``; else they are cut as the index rows are.
+    """
+    index, query = F.count_if(F.col("role") <= BOTH), F.count_if(F.col("role") >= BOTH)
+    if heavy_queries:
+        sizes = rows.groupBy("key").agg(index.alias("i"), query.alias("q")).filter(f"i > 0 AND q > 0 AND (i > {block} OR q > {block})")
+    else:
+        sizes = rows.filter(F.col("role") <= BOTH).groupBy("key").agg(index.alias("i"), index.alias("q")).filter(f"i > {block}")
+    hot = cut(sizes.select("key", F.ceil(F.col("i") / block).cast("int").alias("pi"), F.ceil(F.col("q") / block).cast("int").alias("pq")), "hot-buckets")
     known = hot.count()
     if not known:
         return rows.withColumn("bi", F.lit(0)).withColumn("bj", F.lit(0))
     hot = F.broadcast(hot) if known <= 100_000 else hot
-    rows = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("id"), "parts").cast("int")
-    parts = F.sequence(F.lit(0), F.col("parts") - 1)
-    as_index = F.transform(parts, lambda x: F.struct(own.alias("bi"), x.alias("bj"), F.lit(INDEX).alias("as")))
-    as_query = F.transform(parts, lambda x: F.struct(x.alias("bi"), own.alias("bj"), F.lit(QUERY).alias("as")))
+    rows = rows.join(hot, "key", "left")
+    own = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
+    every = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    as_index = F.transform(every("pq"), lambda x: F.struct(own("pi").alias("bi"), x.alias("bj"), F.lit(INDEX).alias("as")))
+    as_query = F.transform(every("pi"), lambda x: F.struct(x.alias("bi"), own("pq").alias("bj"), F.lit(QUERY).alias("as")))
     places = (
-        F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.col("role").cast("int").alias("as"))))
+        F.when(F.col("pi").isNull(), F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.col("role").cast("int").alias("as"))))
         .when(F.col("role") == INDEX, as_index).when(F.col("role") == QUERY, as_query).otherwise(F.concat(as_index, as_query))
     )
     out = rows.withColumn("__at", F.explode(places))
-    return out.withColumn("bi", F.col("__at.bi")).withColumn("bj", F.col("__at.bj")).withColumn("role", F.col("__at.as").cast("byte")).drop("__at", "parts")
+    return out.withColumn("bi", F.col("__at.bi")).withColumn("bj", F.col("__at.bj")).withColumn("role", F.col("__at.as").cast("byte")).drop("__at", "pi", "pq")
 
 
 def split(rows: DataFrame, id_col: str, size: Column, most: int) -> DataFrame:
@@ -132,7 +139,7 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) ->
 Verify = Callable[[dict, np.ndarray, np.ndarray], np.ndarray]
 
 
-def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch], dict], *, block: int, weights: bool = False) -> DataFrame:
+def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch], dict], *, block: int, weights: bool = False, heavy_queries: bool = False) -> DataFrame:
     """Links between the ids of ``rows`` (key long, role byte, id long, and what ``columns`` reads).
 
     ``columns`` turns a batch into named arrays, ``verify`` tells which (index, query) row numbers are
@@ -170,7 +177,7 @@ def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch],
         for batch in whole_buckets(batches, ("key", "bi", "bj")):
             yield from links(batch)
 
-    dealt = _dealt(rows, block).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "role")
+    dealt = _dealt(rows, block, heavy_queries).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "role")
     return dealt.mapInArrow(run, "a long, b long, n long")
 
 

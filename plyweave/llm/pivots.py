@@ -15,55 +15,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._buckets import INDEX, QUERY, components, linked
+from ._buckets import BOTH, QUERY, components, linked
 from ._shared import cut
-from .annsearch import _matrix, usable
+from .annsearch import _matrix, real_vectors, usable
 
-#: Index rows of a bucket in one block.
-BLOCK = 512
+#: Rows of either side of a bucket in one block.
+BLOCK = 4096
+#: Rows whose products with all pivots are held at once.
+AT_ONCE = 512
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, without overflow on the way."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1)[:, None]
 
 
 def choose_pivots(sample: np.ndarray, most: int, apart: float = 0.8) -> np.ndarray:
     """Unit vectors from ``sample``, each of a cosine below ``apart`` to those before it."""
-    unit = sample / np.linalg.norm(sample, axis=1)[:, None]
-    kept = np.zeros((0, unit.shape[1]))
-    for x in unit:
-        if len(kept) == most:
-            break
-        if not len(kept) or (kept @ x).max() < apart:
-            kept = np.vstack([kept, x])
-    return kept
+    unit = _unit(sample)
+    kept, n = np.zeros((min(most, len(unit)), unit.shape[1])), 0
+    for at in range(0, len(unit), AT_ONCE):
+        some = unit[at : at + AT_ONCE]
+        some = some[(some @ kept[:n].T).max(axis=1, initial=-1) < apart]
+        before = n
+        for x in some:
+            if n == len(kept):
+                return kept
+            if (kept[before:n] @ x).max(initial=-1) < apart:
+                kept[n] = x
+                n += 1
+    return kept[:n]
 
 
 def permutations(unit: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """The ``depth`` nearest pivots of each vector, nearest first, ties to the lower number."""
-    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :depth].astype(np.int16)
+    out = [np.zeros((0, depth), np.int64)]
+    for at in range(0, len(unit), AT_ONCE):
+        far = -(unit[at : at + AT_ONCE] @ pivots.T)
+        last = np.partition(far, depth - 1, axis=1)[:, depth - 1 : depth]
+        row, pivot = np.nonzero(far <= last)
+        order = np.lexsort((pivot, far[row, pivot], row))
+        row, pivot = row[order], pivot[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        out.append(pivot[rank < depth].reshape(-1, depth))
+    return np.concatenate(out).astype(np.int32)
 
 
 def vector_groups(
-    vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, depth: int = 12, shared: int = 3, pivots: int = 2048, sample: int = 4096,
+    vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, depth: int = 12, shared: int = 3, pivots: int = 65_536, sample: int = 4096,
 ) -> DataFrame:
     """(vec_id, n_links, component_id) for every row: its links to other rows, and the smallest vec_id reachable by them.
 
     Rows link if their labels are equal and not null and the cosine of their vectors, in double precision, is
     ``threshold`` or more.  Null, zero and non-finite vectors link with nothing, nor do rows with a null id (their
-    component is null).  All vectors must have one length.
+    component is null).  A shorter vector is filled with zeros.
 
-    Equal vectors are one node with a weight, so copies are not paired.  At most ``pivots`` pivots are chosen
-    from at most ``sample`` rows (those with the smallest hashes of their ids).  A pair is found if the nearest
-    pivot of one is among the ``depth`` nearest of the other and they share ``shared`` of them; the tests
-    hold what is found against all pairs.
+    Equal vectors are one node with a weight, so copies are not paired.  There is a pivot for 16 nodes up to 2048, then for 1024 nodes, and
+    ``pivots`` at most; they are chosen from ``sample`` rows (those with the smallest hashes of their ids) or twice as many rows
+    as there are pivots.  A pair is found if the nearest pivot of one is among the ``depth`` nearest of the other and they share
+    ``shared`` of them; the tests hold what is found against all pairs.
     """
     spark = vectors.sparkSession
-    rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"), usable(F.col(vector_col)).alias("ok")), "vectors")
+    rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), real_vectors(vectors, vector_col).alias("v"), usable(F.col(vector_col)).alias("ok")), "vectors")
     live = rows.filter("ok AND label IS NOT NULL AND vec_id IS NOT NULL")
     nodes = cut(live.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "vector-nodes")
-    drawn = nodes.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()
+    n = nodes.count()
+    many = min(pivots, max(16, min(2048, n // 16), n // 1024))
+    drawn = nodes.orderBy(F.xxhash64("id"), "id").limit(max(sample, 2 * many)).select("v").toPandas()
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not len(drawn):
         return alone
-    n = nodes.count()
-    known = choose_pivots(np.stack(drawn.v.values), min(pivots, max(16, n // 16)))
+    known = choose_pivots(np.stack(drawn.v.values).astype(np.float64), many)
     depth, shared = min(depth, len(known)), min(shared, len(known))
     points = spark.sparkContext.broadcast(known)
 
@@ -71,22 +94,23 @@ def vector_groups(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _matrix(batch.column("v"))
-            unit = v / np.linalg.norm(v, axis=1)[:, None]
-            near = permutations(unit, points.value, depth)
-            payload = pa.array([x.tobytes() for x in unit], pa.binary())
+            v = batch.column("v")
+            wide = v.type.value_type.bit_width // 8 * len(v[0])
+            near = permutations(_unit(_matrix(v)), points.value, depth)
+            payload = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(v), [None, pa.py_buffer(np.ascontiguousarray(v.flatten().to_numpy()))]).cast(pa.binary())
             order = pa.array([x.tobytes() for x in near], pa.binary())
-            for k in range(-1, depth):
-                role = np.full(len(v), INDEX if k < 0 else QUERY, np.int8)
-                yield pa.RecordBatch.from_arrays([batch.column("label_key"), pa.array(near[:, max(k, 0)].astype(np.int32)), pa.array(role), batch.column("id"), batch.column("weight"), order, payload], ["label_key", "pivot", "role", "id", "weight", "near", "unit"])
+            for k in range(depth):
+                role = np.full(len(v), QUERY if k else BOTH, np.int8)
+                yield pa.RecordBatch.from_arrays([batch.column("label_key"), pa.array(near[:, k]), pa.array(role), batch.column("id"), batch.column("weight"), order, payload], ["label_key", "pivot", "role", "id", "weight", "near", "v"])
 
-    schema = "label_key long, pivot int, role byte, id long, weight long, near binary, unit binary"
+    real = np.float32 if dict(rows.dtypes)["v"] == "array<float>" else np.float64
+    schema = "label_key long, pivot int, role byte, id long, weight long, near binary, v binary"
     described = nodes.select(F.xxhash64("label").alias("label_key"), "v", "id", "weight").mapInArrow(describe, schema)
     described = described.withColumn("key", F.xxhash64("label_key", "pivot"))
 
     def columns(batch: pa.RecordBatch) -> dict:
         read = lambda name, kind: np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(batch.num_rows, -1)
-        return {"id": batch.column("id").to_numpy(), "weight": batch.column("weight").to_numpy(), "label": batch.column("label_key").to_numpy(), "pivot": batch.column("pivot").to_numpy(), "near": read("near", np.int16), "unit": read("unit", np.float64)}
+        return {"id": batch.column("id").to_numpy(), "weight": batch.column("weight").to_numpy(), "label": batch.column("label_key").to_numpy(), "pivot": batch.column("pivot").to_numpy(), "near": read("near", np.int32), "unit": _unit(read("v", real).astype(np.float64))}
 
     def verify(table: dict, i: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Whether a meeting is a link; of a pair that meets both ways, the one whose index row has the smaller id counts."""
@@ -102,7 +126,7 @@ def vector_groups(
         ok[at[cosine >= threshold]] = True
         return ok
 
-    found = cut(linked(described, verify, columns, block=BLOCK, weights=True), "vector-links")
+    found = cut(linked(described, verify, columns, block=BLOCK, weights=True, heavy_queries=True), "vector-links")
     reached = components(found.filter("n IS NULL").select("a", "b"))
     links = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     labelled = nodes.join(links, "id", "left").join(reached, "id", "left")

@@ -297,6 +297,35 @@ def test_vector_groups(spark):
     assert pivots.vector_digest(df.limit(0)).count() == 0
 
 
+def test_vector_groups_of_extreme_and_short_vectors(spark):
+    rows = [(1, [1e300] * 4), (2, [1e-300] * 4), (3, [1.0, 1.0]), (4, [2.0, 2.0, 0.0]), (5, [-1.0] * 4)]
+    rows = [(i, v, 1) for i, v in rows]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.vector_digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_pivot_permutations():
+    rng = np.random.default_rng(0)
+    unit, points = rng.integers(-2, 3, (1100, 6)).astype(float), rng.integers(-2, 3, (70, 6)).astype(float)
+    assert (pivots.permutations(unit, points, 12) == np.argsort(-(unit @ points.T), axis=1, kind="stable")[:, :12]).all()
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_vector_links_of_a_whole_table(spark, block, monkeypatch):
+    """All links of a test table with one dense label, in whole and in divided buckets."""
+    monkeypatch.setattr(pivots, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(32)
+    data = [(r.vec_id, r.embedding[:32], r.label) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    data += [(10**6 + k, (centre + 0.1 * rng.standard_normal(32)).tolist(), 1) for k in range(700)]
+    x = np.array([v for _, v, _ in data], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([l for _, _, l in data])
+    want = ((x @ x.T >= 0.98) & (label[:, None] == label)).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in pivots.vector_digest(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()}
+    assert sum(got.values()) >= 0.999 * want.sum() > 10_000 and all(got[i] <= n for (i, _, _), n in zip(data, want.tolist(), strict=True))
+
+
 def test_search(spark):
     rows = vector_rows(np.random.default_rng(6))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
