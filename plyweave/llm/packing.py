@@ -250,12 +250,13 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, *, end_id: i
             spans = list(zip((base + start).tolist(), (base + end).tolist(), strict=True))
             out = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start), pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in spans], pa.int64())]
             if with_ids:
-                out.append(pa.array([ids[a:b].astype(np.int64) for a, b in spans], pa.list_(pa.int64())))
+                held = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(held), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, schema)
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plyweave.llm import _buckets, annsearch, langid, lmscore, mixing, packing, pii, pivots, sharding, simhash, token_file
+from plyweave.llm import _buckets, _shared, annsearch, langid, lmscore, mixing, packing, pii, pivots, sharding, simhash, token_file
 from plyweave.llm._bpe import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -223,6 +223,16 @@ def test_buckets_in_blocks_find_all_pairs(spark):
     assert sums == links
 
 
+def test_settled_deletes_what_led_to_it(spark):
+    import os
+
+    folder = _shared.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = _shared.settled(spark, "kept", lambda: _shared.cut(_shared.cut(spark.range(5).toDF("a"), "one"), "two").filter("a > 1"))
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("kept-") and sorted(r.a for r in out.collect()) == [2, 3, 4]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3)] + [(200, 200 + k) for k in range(1, 30)]
     got = {r.id: r.component for r in _buckets.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -543,6 +553,44 @@ def test_mixing(spark, driver_cells):
     assert max(r.probability for r in got) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("driver_cells", [10_000, 0])
+def test_mixing_meets_its_targets_with_a_share(spark, driver_cells):
+    """Expected tokens of every margin's value are the bounded targets, and probabilities those of brute force."""
+    rng = np.random.default_rng(6)
+    rows = [(k, *(str(min(rng.geometric(0.5), n)) for n in (6, 4, 3)), int(rng.integers(1, 50))) for k in range(3000)]
+    margins = ["source", "lang", "topic"]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long")
+    mixed = mixing.mix(df, "tokens", margins, keep=0.6, power=0.3, driver_cells=driver_cells, rounds=200 if driver_cells else 12, tolerance=1e-7).cache()
+    total = sum(r[4] for r in rows)
+    near = 1e-5 if driver_cells else 0.01
+    cells = {}
+    for r in rows:
+        cells[r[1:4]] = cells.get(r[1:4], 0) + r[4]
+    wants = []
+    for k, m in enumerate(margins):
+        have = {}
+        for c, t in cells.items():
+            have[c[k]] = have.get(c[k], 0) + t
+        lo, hi = 0.0, 1e9  # the level at which bounded targets add up, by bisection
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(t, mid * t**0.3) for t in have.values()) < 0.6 * total else (lo, mid)
+        want = {v: min(t, lo * t**0.3) for v, t in have.items()}
+        wants.append(want)
+        assert any(want[v] == have[v] for v in have)
+        got = {r.value: r.expected for r in mixing.shares(mixed, "tokens", m).collect()}
+        assert all(got[v] == pytest.approx(x / (0.6 * total), abs=near) for v, x in want.items())
+    factor = dict.fromkeys(cells, 1.0)
+    for _ in range(2000):
+        for k, want in enumerate(wants):
+            now = {}
+            for c, t in cells.items():
+                now[c[k]] = now.get(c[k], 0) + t * min(1, factor[c])
+            for c in cells:
+                factor[c] = min(1e12, factor[c] * want[c[k]] / now[c[k]])
+    assert all(r.probability == pytest.approx(min(1, factor[r.source, r.lang, r.topic]), abs=1e-3 if driver_cells else 0.05) for r in mixed.collect())
+
+
 def test_mixing_keeps_a_share(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").otherwise("common").alias("source"), F.lit(10).alias("tokens"))
     got = mixing.mix(df, "tokens", ["source"], keep=0.5)
