@@ -125,7 +125,7 @@ def uniform(id_col: str | Column, seed: int) -> Column:
 
 
 def mix(
-    docs: DataFrame, tokens_col: str, margins: list[str], id_col: str = "doc_id", *, power: float = 0.7, keep: float | None = None, targets: list[dict[str, float]] | None = None, rounds: int = 1000, tolerance: float = 1e-7, seed: int = 17, driver_cells: int = DRIVER_CELLS,
+    docs: DataFrame, tokens_col: str, margins: list[str], id_col: str = "doc_id", *, power: float = 0.7, keep: float | None = None, targets: list[dict[str, float]] | None = None, rounds: int = 2000, tolerance: float = 1e-7, seed: int = 17, driver_cells: int = DRIVER_CELLS,
 ) -> DataFrame:
     """``docs`` with ``weight``, ``probability`` and ``kept``.
 
