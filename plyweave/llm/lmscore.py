@@ -1,12 +1,15 @@
 """Scoring documents by masked pseudo-likelihood.
 
 A window network predicts every word from the two words on either side: their embeddings, scaled by
-position, are summed, and a two-level softmax (group of words, then word within the group) gives the conditional
-log-probability.  A document's score is the sum of these over its words.  Words are hashed to a fixed number
-of classes; training and scoring run in numpy on batches of whole texts.
-
-Training covers the whole corpus: documents are dealt to rounds, in each round every partition improves its
-own copy of the network, and the copies are averaged by the words that they saw.
+position, are summed, and a two-level softmax (group of classes, then class within the group) gives the conditional
+log-probability of a word's class.  The most frequent words are classes of their own; the others share the rest, and the
+probability of a word within its class is its share of the class in the whole corpus.  The counts of all words are a table
+that grows with the corpus: its frequent part, which a parameter bounds, is broadcast, the other words are joined.  A document's score is the sum of these
+log-probabilities over its words.
+
+Training covers the whole corpus.  The output starts at the corpus frequencies.  Documents are dealt to rounds and, within a
+round, to replicas by hashes of their ids and texts; a replica learns its documents in the order of those hashes, and the replicas are averaged by the
+words that they saw.  How many replicas there are depends on the number of words alone, so how the input is partitioned changes nothing.
 """
 
 from __future__ import annotations
@@ -15,13 +18,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import steady_batches
+from ._shared import cut, steady_batches
 
 GROUPS, WITHIN, DIM = 32, 64, 16
+#: Words that are classes of their own; the other words share the other classes by their hashes.
+OWN = 1536
+#: Words whose counts are broadcast, at most (12 MB).
+FREQUENT = 1 << 19
+#: Words that a replica learns in a round, about.
+REPLICA_WORDS = 1_000_000
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 4096
 #: Bytes of text in one numpy pass.
@@ -52,6 +63,15 @@ class Network:
         draw = lambda *shape: (0.1 * rng.standard_normal(shape)).astype(np.float32)
         return cls(draw(GROUPS * WITHIN + 1, DIM), 1 + draw(len(OFFSETS), DIM), draw(DIM + 1, GROUPS), draw(GROUPS, DIM), draw(DIM + 1, WITHIN), np.zeros((GROUPS, WITHIN), np.float32))
 
+    def at_frequencies(self, class_counts: np.ndarray) -> Network:
+        """This network with output weights that predict the corpus frequencies, whatever the context."""
+        often = (class_counts[1:] + 0.5).reshape(GROUPS, WITHIN)
+        self.group[:] = 0
+        self.group[DIM] = np.log(often.sum(axis=1) / often.sum())
+        self.bias[:] = np.log(often / often.sum(axis=1, keepdims=True))
+        self.word[DIM] = 0
+        return self
+
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
         out, at = [], 0
@@ -61,8 +81,82 @@ class Network:
         return cls(*out)
 
 
-def word_classes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Class (from 1) of every word of the texts, split at ASCII white space and with A-Z lower-cased, and words in each text."""
+@dataclass
+class Vocabulary:
+    """Frequent words by ascending hash with their counts and classes, and the count of each class."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    classes: np.ndarray
+    class_counts: np.ndarray  # (classes + 1,), class 0 unused
+
+    def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each word, and its count, 0 where it is not among the frequent ones."""
+        if not len(self.hashes):
+            return _shared_class(hashes), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = self.hashes[at] == hashes
+        return np.where(known, self.classes[at], _shared_class(hashes)), np.where(known, self.counts[at], 0)
+
+
+def _shared_class(hashes: np.ndarray) -> np.ndarray:
+    return OWN + 1 + (hashes.view(np.uint64) % np.uint64(GROUPS * WITHIN - OWN)).astype(np.int64)
+
+
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(hash, n): how often each word of all texts occurs; as many rows as the corpus has words, written to the shared folder."""
+    steady_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            words, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return words, np.bincount(at, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
+
+        def out(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["hash", "n"])
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in _pieces(texts):
+                held.append(np.unique(word_hashes(texts[a:b])[0], return_counts=True))
+            if sum(len(x) for x, _ in held) > 4_000_000:
+                held = [merged()]
+                if len(held[0][0]) > 2_000_000:
+                    yield out(*held.pop())
+        if held:
+            yield out(*merged())
+
+    counted = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).mapInArrow(run, "hash long, n long")
+    return cut(counted.groupBy("hash").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def vocabulary(counts: DataFrame, *, frequent: int = FREQUENT) -> Vocabulary:
+    """The ``frequent`` most frequent words at most (whole ranges of counts), and the counts of the classes."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    steps = {r[0]: r[1] for r in counts.groupBy(step.alias("s")).count().collect()}  # a few hundred
+    total, least = 0, None
+    for s in sorted(steps, reverse=True):
+        total += steps[s]
+        if total > frequent:
+            break
+        least = s
+    head = counts.filter(step >= F.lit(least)).toPandas() if least is not None else pd.DataFrame({"hash": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    head = head.sort_values(["n", "hash"], ascending=[False, True], ignore_index=True)
+    classes = np.where(np.arange(len(head)) < OWN, np.arange(len(head)) + 1, _shared_class(head["hash"].to_numpy(np.int64)))
+    sums = np.bincount(classes, head.n.to_numpy(float), GROUPS * WITHIN + 1).astype(np.int64)
+    tail = counts.filter(step < F.lit(least)) if least is not None else counts
+    modulus = GROUPS * WITHIN - OWN  # of the hash as an unsigned number
+    unsigned = F.pmod(F.pmod(F.col("hash"), F.lit(modulus)) + F.when(F.col("hash") < 0, F.lit(2**64 % modulus)).otherwise(0), F.lit(modulus))
+    for r in tail.groupBy((unsigned + OWN + 1).alias("c")).agg(F.sum("n").alias("n")).collect():
+        sums[r.c] += r.n
+    order = np.argsort(head["hash"].to_numpy(np.int64), kind="stable")
+    return Vocabulary(head["hash"].to_numpy(np.int64)[order], head.n.to_numpy(np.int64)[order], classes[order], sums)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of the texts, split at ASCII white space and with A-Z lower-cased, and words in each text."""
     raw = [(x or "").encode().lower() for x in texts]
     size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     text = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
@@ -76,9 +170,9 @@ def word_classes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
     h = total[end] - total[start]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    classes = (h >> np.uint64(40)) % np.uint64(GROUPS * WITHIN) + np.uint64(1)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     ends = np.cumsum(size)
-    return classes.astype(np.int64), np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
+    return h.view(np.int64), np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
 
 
 def _context(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -152,33 +246,58 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def train(docs: DataFrame, text_col: str = "text", *, rounds: int = 2, rate: float = 0.1, seed: int = 5) -> Network:
+def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", id_col: str | None = None, *, rounds: int = 4, rate: float = 0.1, seed: int = 5, replica_words: int = REPLICA_WORDS) -> Network:
     """A network trained on every document of ``docs``, each in one of ``rounds`` rounds.
 
     What returns to the driver is one network's numbers a round, whatever the size of the corpus; every
-    partition sends its copy to their sum.  Null and blank texts have no words and teach nothing.
+    replica sends its copy to their sum.  With ``id_col`` copies of a text are dealt to different replicas.  Null and blank texts have no words and teach nothing.
     """
-    steady_batches(docs.sparkSession)
-    flat = Network.start(seed).flat()
-    dealt = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).withColumn("round", F.pmod(F.xxhash64("text"), F.lit(rounds)))
+    spark = docs.sparkSession
+    steady_batches(spark)
+    flat = Network.start(seed).at_frequencies(words.class_counts).flat()
+    replicas = max(1, int(words.class_counts.sum()) // (rounds * replica_words))
+    keys = [F.xxhash64(*((id_col,) if id_col else ()), text_col).alias("h"), F.col(text_col).alias("text")]
+    dealt = docs.select(*keys).filter(F.col("text").isNotNull()).withColumn("round", F.pmod(F.col("h"), F.lit(rounds))).withColumn("replica", F.pmod(F.xxhash64("h"), F.lit(replicas)).cast("int"))
+    known = spark.sparkContext.broadcast(words)
     for k in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(flat)
+        shared = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            net, seen = Network.of(shared.value), 0
-            memory = [np.zeros_like(x) for x in net.parts()]
+            now, net, memory, seen = -1, None, [], 0
+
+            def out() -> pa.RecordBatch:
+                own = net.flat()
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own.astype(np.float64) * seen), pa.array(np.full(len(own), seen, np.int64))], ["at", "value", "n"])
+
+            held: list[str] = []  # texts of the replica up to a chunk, so that batches do not matter
+
+            def teach() -> int:
+                hashes, counts = word_hashes(held)
+                held.clear()
+                learn(net, known.value.look(hashes)[0], counts, memory, rate)
+                return len(hashes)
+
+            size = 0
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for a, b in _pieces(texts):
-                    classes, counts = word_classes(texts[a:b])
-                    learn(net, classes, counts, memory, rate)
-                    seen += len(classes)
+                for replica, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if replica != now:
+                        if held:
+                            seen += teach()
+                        if seen:
+                            yield out()
+                        now, net, seen, size = replica, Network.of(shared.value), 0, 0
+                        memory = [np.zeros_like(x) for x in net.parts()]
+                    if held and size + len(text) > CHUNK_BYTES:
+                        seen, size = seen + teach(), 0
+                    held.append(text)
+                    size += len(text)
+            if held:
+                seen += teach()
             if seen:
-                own = net.flat()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own.astype(np.float64) * seen), pa.array(np.full(len(own), seen, np.int64))], ["at", "value", "n"])
+                yield out()
 
-        parts = dealt.filter(F.col("round") == k).select("text").mapInArrow(run, "at int, value double, n long")
-        mean = parts.groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas()
+        own = dealt.filter(F.col("round") == k).repartition(replicas, "replica").sortWithinPartitions("replica", "h", "text").select("replica", "text")
+        mean = own.mapInArrow(run, "at int, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas()
         if len(mean):
             flat = np.zeros(len(flat), np.float32)
             flat[mean["at"]] = mean["value"]
@@ -186,38 +305,64 @@ def train(docs: DataFrame, text_col: str = "text", *, rounds: int = 2, rate: flo
     return Network.of(flat)
 
 
-def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: Network, words: Vocabulary, counts: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``log_likelihood`` (the sum over all words) and ``mean_log_likelihood``.
 
-    A null or blank text has 0 words, the sum 0 and a null mean.  Columns named like the new ones are replaced.
+    ``counts`` has the words of the corpus (:func:`count_words`); a word that it lacks counts as a half.  A null or blank text has 0 words, the
+    sum 0 and a null mean.  Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
     steady_batches(spark)
     new = ("n_words", "log_likelihood", "mean_log_likelihood")
     columns = [c for c in docs.columns if c.lower() not in new]
     docs = docs.select(*columns)
-    shared = spark.sparkContext.broadcast(net)
+    shared = spark.sparkContext.broadcast((net, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = shared.value
+        log_class = np.log(np.maximum(known.class_counts, 0.5))
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(columns.index(text_col)).to_pylist()
-            sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+            sums, sizes, rare, many, spans = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for a, b in _pieces(texts):
-                classes, counts = word_classes(texts[a:b])
-                context = _context(classes, counts)
-                each = [_forward(shared.value, context[k : k + BATCH], classes[k : k + BATCH])[-1] for k in range(0, len(classes), BATCH)]
-                total = np.concatenate([[0.0], np.cumsum(np.concatenate(each), dtype=np.float64)]) if each else np.zeros(1)
-                ends = np.cumsum(counts)
-                sums.append(total[ends] - total[ends - counts])
-                sizes.append(counts)
-            n, s = np.concatenate(sizes), np.concatenate(sums)
-            mean = pa.array(np.divide(s, n, out=np.zeros(len(s)), where=n > 0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(s), mean], [*columns, *new])
+                hashes, counted = word_hashes(texts[a:b])
+                classes, often = known.look(hashes)
+                context = _context(classes, counted)
+                each = [_forward(model, context[k : k + BATCH], classes[k : k + BATCH])[-1] for k in range(0, len(classes), BATCH)]
+                inside = np.where(often > 0, np.log(np.maximum(often, 1)), 0.0) - log_class[classes]
+                total = np.concatenate([[0.0], np.cumsum(np.concatenate(each) + inside, dtype=np.float64)]) if each else np.zeros(1)
+                ends = np.cumsum(counted)
+                sums.append(total[ends] - total[ends - counted])
+                sizes.append(counted)
+                doc = np.repeat(np.arange(b - a), counted)[often == 0]
+                order = np.lexsort((hashes[often == 0], doc))
+                doc, tail = doc[order], hashes[often == 0][order]
+                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tail[1:] != tail[:-1]))) if len(doc) else np.zeros(0, np.int64)
+                rare.append(tail[first])
+                many.append(np.diff(first, append=len(doc)).astype(np.int32))
+                spans.append(np.bincount(doc[first], minlength=b - a))
+            held = np.concatenate([[0], np.cumsum(np.concatenate(spans))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(held), pa.array(np.concatenate(x))) for x in (rare, many)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row + np.arange(len(texts))), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums)), *lists], [*columns, "__row", new[0], new[1], "__rare", "__many"])
+            row += len(texts)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, n_words long, log_likelihood double, mean_log_likelihood double")
+    part = cut(docs.mapInArrow(run, f"{schema}, __row long, n_words long, log_likelihood double, __rare array<long>, __many array<int>"), "scored")
+    rows = part.filter(F.size("__rare") > 0).select("__row", F.explode(F.arrays_zip("__rare", "__many")).alias("w")).select("__row", F.col("w.__rare").alias("hash"), F.col("w.__many").alias("many"))
+    rare = counts.filter(F.col("n") < int(words.counts.min())) if len(words.counts) else counts
+    found = rows.join(rare, "hash", "left").groupBy("__row").agg(F.sum(F.col("many") * F.log(F.coalesce(F.col("n").cast("double"), F.lit(0.5)))).alias("__more"))
+    whole = part.drop("__rare", "__many").join(found, "__row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("__more", F.lit(0.0)))
+    return whole.select(*columns, "n_words", "log_likelihood", F.try_divide(F.col("log_likelihood"), F.col("n_words")).alias("mean_log_likelihood"))
+
+
+def fit(docs: DataFrame, text_col: str = "text", id_col: str | None = None, **options) -> tuple[Network, Vocabulary, DataFrame]:
+    """Network, vocabulary and word counts of a corpus, as :func:`score` takes them."""
+    counts = count_words(docs, text_col)
+    words = vocabulary(counts)
+    return train(docs, words, text_col, id_col, **options), words, counts
 
 
 def score_digest(docs: DataFrame) -> DataFrame:
     """Every document's score under a network trained on all of them."""
-    return score(docs.select("doc_id", "text"), train(docs)).drop("text")
+    return score(docs.select("doc_id", "text"), *fit(docs, id_col="doc_id")).drop("text")
