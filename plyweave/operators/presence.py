@@ -15,10 +15,15 @@ from ..functions import labels as L
 def present_systems(cells: DataFrame, keys: list[str], system_col: str = "system", token_col: str | None = None) -> DataFrame:
     """(keys, systems, systems_key): the systems with a token in each column, ascending, and their key ``"1 2 5"``.
 
-    Columns of fillers only are left out.  Numeric systems are ordered as numbers.
+    Columns of fillers only are left out.  Systems are ordered as numbers, also where they are strings; strings that are none follow bytewise.
     """
     some = cells.filter(F.col(token_col).isNotNull()) if token_col else cells
-    found = some.groupBy(*keys).agg(F.array_sort(F.collect_set(system_col)).alias("systems"))
+    systems = F.array_sort(F.collect_set(system_col))
+    if dict(cells.dtypes)[system_col] == "string":
+        number = F.expr(f"try_cast(`{system_col}` AS decimal(38, 0))")
+        ordered = F.array_sort(F.collect_set(F.struct(number.isNull().alias("other"), number.alias("number"), F.col(system_col).alias("system"))))
+        systems = F.transform(ordered, lambda x: x.system)
+    found = some.groupBy(*keys).agg(systems.alias("systems"))
     return found.withColumn("systems_key", F.array_join(F.transform("systems", lambda s: s.cast("string")), " "))
 
 
@@ -57,8 +62,11 @@ def consensus(cells: DataFrame, keys: list[str], order_col: str, text_col: str =
 def bit_rows(cells: DataFrame, keys: list[str], width: int | Column, col: str = "col") -> DataFrame:
     """(keys, bits): a string of 1 for tokens and 0 for fillers, from rows for the tokens only."""
     last = (width if isinstance(width, Column) else F.lit(width)) - 1
-    found = cells.groupBy(*keys).agg(F.collect_set(col).alias("c"))
-    return found.withColumn("bits", F.array_join(F.transform(F.sequence(F.lit(0), last.cast("int")), lambda k: F.when(F.array_contains("c", k), "1").otherwise("0")), "")).drop("c")
+    found = cells.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(col).cast("int"))).alias("c"))
+    inside = F.filter("c", lambda k: (k >= 0) & (k <= last))
+    ends = F.concat(F.array(F.lit(-1)), inside, F.array((last + 1).cast("int")))  # zeros fill the way from one token to the next
+    runs = F.zip_with(ends, F.slice(ends, 2, F.size(ends)), lambda a, b: F.when(b.isNotNull(), F.concat(F.repeat(F.lit("0"), b - a - 1), F.when(b <= last, "1").otherwise(""))))
+    return found.withColumn("bits", F.array_join(runs, "")).drop("c")
 
 
 def bit_cells(rows: DataFrame, keys: list[str]) -> DataFrame:

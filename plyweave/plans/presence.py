@@ -1,6 +1,8 @@
 """Queries on presence, features and set expressions.
 
-The alignment: a column is the number in an event's properties, a system the user id modulo 8, plus 1.
+The alignment: a column is the number in an event's properties, a system the user id modulo 8, plus 1.  A column is there for the
+sake of one label over three features, which the type of its first event tells; a system has the column if it has events there
+and its configuration satisfies the label.
 """
 
 from __future__ import annotations
@@ -8,6 +10,7 @@ from __future__ import annotations
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -21,24 +24,38 @@ TABLE = E.truth_table(FEATURES, SYSTEMS)
 LITERALS = ["True"] + [" & ".join(x for x in combo if x) for combo in product(*(("", f, f"~{f}") for f in FEATURES)) if any(combo)]
 EXPRESSIONS = [E.of_label(x, FEATURES, TABLE) for x in LITERALS]
 
-CELLS = """WITH cells AS (SELECT DISTINCT CAST(json_extract(props, '$.k') AS INTEGER) AS col, CAST(user_id % 8 + 1 AS BIGINT) AS system, event_type FROM events WHERE props IS NOT NULL AND user_id IS NOT NULL),
-present AS (SELECT col, list_sort(list(DISTINCT system)) AS systems FROM cells GROUP BY 1),
-keyed AS (SELECT col, systems, array_to_string(systems, ' ') AS systems_key FROM present),
-picked AS (SELECT DISTINCT col, system FROM cells WHERE (col * 7 + system * 3) % 5 < 2),
+#: What a column is there for, by the type of its first event.
+KINDS = {"click": "a", "view": "a & ~b", "purchase": "~c", "signup": "b", "error": "True"}
+MASKS = {k: sum(1 << SYSTEMS.index(x) for x in E.of_label(v, FEATURES, TABLE).lhs) for k, v in KINDS.items()}
+
+CELLS = f"""WITH raw AS (SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS col, CAST(user_id % 8 + 1 AS BIGINT) AS system, event_type, event_id FROM events WHERE props IS NOT NULL AND user_id IS NOT NULL),
+cells AS (SELECT DISTINCT col, system, event_type FROM raw),
+masks AS (SELECT col, CASE arg_min(event_type, event_id) {" ".join(f"WHEN '{k}' THEN {m}" for k, m in MASKS.items())} ELSE 0 END AS mask FROM raw GROUP BY 1),
+picked AS (SELECT DISTINCT col, system FROM cells JOIN masks USING (col) WHERE (mask >> CAST(system - 1 AS INTEGER)) & 1 = 1),
 ppresent AS (SELECT col, list_sort(list(DISTINCT system)) AS systems FROM picked GROUP BY 1),
 pkeyed AS (SELECT col, systems, array_to_string(systems, ' ') AS systems_key FROM ppresent)
 """
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("props IS NOT NULL AND user_id IS NOT NULL")
-    k = F.get_json_object("props", "$.k").cast("int")
-    return events.select(k.alias("col"), (F.col("user_id") % 8 + 1).alias("system"), "event_type").distinct()
+    return events.select(F.get_json_object("props", "$.k").cast("int").alias("col"), (F.col("user_id") % 8 + 1).alias("system"), "event_type", "event_id")
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir).select("col", "system", "event_type").distinct()
+
+
+def present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the systems that have the column."""
+    kind = raw(spark, sf_dir).groupBy("col").agg(F.min_by("event_type", "event_id").alias("kind"))
+    mask = F.coalesce(*(F.when(F.col("kind") == k, F.lit(m)) for k, m in MASKS.items()), F.lit(0))
+    here = F.expr("shiftright(mask, cast(system - 1 AS int)) & 1 = 1")
+    return cells(spark, sf_dir).join(kind.select("col", mask.alias("mask")), "col").filter(here).drop("mask")
 
 
 def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A thinner matrix, so that columns differ: two fifths of the cells, in a fixed pattern."""
-    return cells(spark, sf_dir).filter((F.col("col") * 7 + F.col("system") * 3) % 5 < 2).select("col", "system").distinct()
+    return present(spark, sf_dir).select("col", "system").distinct()
 
 
 def rule(key: F.Column) -> F.Column:
@@ -116,7 +133,7 @@ def _expression_sql() -> str:
         bar = sum(1 << SYSTEMS.index(s) for s in e.rhs)
         rows.append(f"('{e.label}', {need}, {bar})")
     masks = "SELECT col, CAST(sum(1 << CAST(system - 1 AS INTEGER)) AS BIGINT) AS m FROM picked GROUP BY 1"
-    return CELLS + f", masks AS ({masks}), ex(label, a, b) AS (VALUES {', '.join(rows)}) SELECT label, col FROM masks JOIN ex ON (m & a) = a AND (m & b) = 0"
+    return CELLS + f", held AS ({masks}), ex(label, a, b) AS (VALUES {', '.join(rows)}) SELECT label, col FROM held JOIN ex ON (m & a) = a AND (m & b) = 0"
 
 
 @query(_expression_sql())
@@ -140,15 +157,14 @@ def setexpr_subtract(spark, sf_dir):
     return columns.filter(E.holds(F.col("systems"), F.array(F.lit(1).cast("long")), F.array(F.lit(6).cast("long")))).select("col")
 
 
-TEXTS = CELLS + """, words AS (SELECT col, system, min(event_type) AS text FROM cells WHERE (col * 7 + system * 3) % 5 < 2 GROUP BY ALL),
+TEXTS = CELLS + """, words AS (SELECT col, system, min(event_type) AS text FROM cells JOIN picked USING (col, system) GROUP BY ALL),
 wide AS (SELECT col, CAST(max(strlen(text)) AS INTEGER) AS width FROM words GROUP BY 1),
 every AS (SELECT w.col, s.system, t.text, w.width FROM wide w CROSS JOIN (SELECT DISTINCT system FROM words) s LEFT JOIN words t ON t.col = w.col AND t.system = s.system)
 """
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = cells(spark, sf_dir).filter((F.col("col") * 7 + F.col("system") * 3) % 5 < 2)
-    return some.groupBy("col", "system").agg(F.min("event_type").alias("text"))
+    return present(spark, sf_dir).groupBy("col", "system").agg(F.min("event_type").alias("text"))
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,14 +201,15 @@ def bit_cells(spark, sf_dir):
 
 @query(
     CELLS
-    + """, prof AS (SELECT s.system, r.col, (r.col + s.system) % 3 <> 0 AS is_node FROM (SELECT DISTINCT system FROM picked) s CROSS JOIN (SELECT unnest(range(60)) AS col) r),
+    + """, prof AS (SELECT s.system, r.col, (r.col + s.system) % 3 <> 0 AS is_node FROM (SELECT DISTINCT system FROM picked) s CROSS JOIN (SELECT unnest(range((SELECT max(col) + 1 FROM picked) * 2)) AS col) r),
 slots AS (SELECT system, col, CASE WHEN is_node THEN sum(CASE WHEN is_node THEN 1 ELSE 0 END) OVER (PARTITION BY system ORDER BY col) - 1 END AS old_col FROM prof)
 SELECT slots.system, CAST(slots.col AS INTEGER) AS col, CASE WHEN p.col IS NOT NULL THEN 't' || p.col END AS token FROM slots LEFT JOIN picked p ON p.system = slots.system AND p.col = slots.old_col"""
 )
 def realign_gaps(spark, sf_dir):
     """Rows moved to a profile with a gap in every third column."""
     row = picked(spark, sf_dir).withColumn("token", F.concat(F.lit("t"), F.col("col").cast("string")))
-    profile = row.select("system").distinct().select("system", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("col")).withColumn("is_node", (F.col("col") + F.col("system")) % 3 != 0)
+    last = row.agg(F.max("col")).first()[0] or 0  # two thirds of the profile's columns are nodes, as many as the row has columns at least
+    profile = row.select("system").distinct().select("system", F.explode(F.sequence(F.lit(0), F.lit(2 * last + 1))).alias("col")).withColumn("is_node", (F.col("col") + F.col("system")) % 3 != 0)
     return P.realigned(row, profile, ["system"])
 
 
@@ -216,10 +233,13 @@ def html_layout(spark, sf_dir):
     """The words of every document as spans at their lines and columns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    parts = lines.select("doc_id", "ln", F.split("line", " ").alias("t"))
-    starts = F.transform(F.sequence(F.lit(1), F.size("t")), lambda k: F.aggregate(F.slice(F.col("t"), F.lit(1), k - 1), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    cells = parts.select("doc_id", "ln", F.posexplode(F.arrays_zip(F.col("t").alias("text"), starts.alias("at"))).alias("k", "z")).select("doc_id", "ln", "k", "z.text", F.col("z.at").alias("start_col"))
-    numbered = cells.withColumn("col", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) - 1").cast("long")).filter("text <> ''")
+    before = W.partitionBy("doc_id").orderBy("ln").rowsBetween(W.unboundedPreceding, -1)
+    lines = lines.withColumn("first", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    parts = lines.select("doc_id", "ln", "first", F.posexplode(F.split("line", " ")).alias("k", "text"))
+    words_before = W.partitionBy("doc_id").orderBy("ln", "k")
+    at = F.coalesce(F.sum(F.length("text") + 1).over(words_before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = parts.select("doc_id", "ln", "text", (at - F.col("first")).cast("int").alias("start_col"), (F.row_number().over(words_before) - 1).cast("long").alias("col"))
+    numbered = cells.filter("text <> ''")
     feature = F.when(F.length("text") % 3 == 0, "").otherwise(F.concat(F.lit("f "), F.length("text").cast("string")))
     tokens = numbered.select("doc_id", "col", F.col("ln").alias("start_line"), "start_col", F.col("ln").alias("end_line"), (F.col("start_col") + F.length("text")).alias("end_col"), "text", feature.alias("feature"))
     return P.laid_out(tokens, ["doc_id"])

@@ -130,18 +130,6 @@ def tree_ancestors(spark, sf_dir):
     return T.ancestors(rtree(spark, sf_dir))
 
 
-@query(TREE + "SELECT content_id, node_id, ancestor_id, distance FROM anc WHERE distance > 0 AND content_id < 2")
-def tree_ancestors_rec(spark, sf_dir):
-    """The same for two files by a recursive query over edges."""
-    T.edges(rtree(spark, sf_dir).filter("content_id < 2")).createOrReplaceTempView("__edges")
-    return spark.sql(
-        """WITH RECURSIVE up(content_id, node_id, ancestor_id, distance) MAX RECURSION LEVEL 100 AS (
-             SELECT content_id, node_id, parent_id, 1 FROM __edges
-             UNION ALL SELECT up.content_id, up.node_id, e.parent_id, up.distance + 1 FROM up JOIN __edges e ON e.content_id = up.content_id AND e.node_id = up.ancestor_id)
-           SELECT * FROM up"""
-    )
-
-
 @query(TREE + "SELECT content_id, parent_id AS node_id, min(node_id) AS child_id, arg_min(text, node_id) AS child_text FROM nodes WHERE tag = 'identifier' AND parent_id IS NOT NULL GROUP BY ALL")
 def tree_child_by_tag(spark, sf_dir):
     """The first identifier of every node that has one."""

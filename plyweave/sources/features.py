@@ -12,11 +12,14 @@ SCHEMA = "systems_key string, expr string"
 
 
 def from_program(keys: DataFrame, program: str, spec: str) -> DataFrame:
-    """(systems_key, expr) for the distinct keys, one call ``<program> expr <spec> <ids>`` each; no output is an empty expression."""
+    """(systems_key, expr) for the distinct keys, one call ``<program> expr <spec> <ids>`` each; no output is an empty expression.
+
+    A program that ends with an error ends the job.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            said = [subprocess.run([program, "expr", spec, f"{k} "], capture_output=True, text=True, check=False).stdout.rstrip() for k in batch["systems_key"]]
+            said = [subprocess.run([program, "expr", spec, f"{k} "], capture_output=True, text=True, check=True).stdout.rstrip() for k in batch["systems_key"]]
             yield batch.assign(expr=said)
 
     return keys.select("systems_key").distinct().mapInPandas(run, SCHEMA)

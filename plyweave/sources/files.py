@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 SUFFIXES = {"cpp": ("cpp", "hpp"), "java": ("java",)}
 #: Syntax-tree tags whose subtree becomes one leaf, by language (fixed values).
 ATOMIC = {
-    "cpp": ("call_expression", "number_literal", "char_literal", "preproc_defined", "unary_expression", "binary_expression", "parenthesized_expression", "throw_statement"),
-    "java": ("import_declaration", "instanceof_expression", "method_invocation", "field_access", "array_access", "class_literal", "modifiers", "formal_parameter", "catch_formal_parameter", "package_declaration"),
+    "cpp": ("identifier", "call_expression", "number_literal", "char_literal", "preproc_defined", "unary_expression", "binary_expression", "parenthesized_expression"),
+    "java": ("throw_statement", "import_declaration", "instanceof_expression", "method_invocation", "field_access", "array_access", "class_literal", "modifiers", "formal_parameter", "catch_formal_parameter", "package_declaration"),
 }
 
 

@@ -380,7 +380,7 @@ def parse_contents(contents: DataFrame, language: str, atomic: list[str] | tuple
                 try:
                     text = "" if content is None else content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")
                     found = [(key, *r, None) for r in parse(text, language, tags)]
-                except RecursionError as e:
+                except Exception as e:  # whatever is wrong with one file is told of it
                     found = [(key, *[None] * (len(names) - 2), repr(e))]
                 table = pd.DataFrame(found, columns=names)
                 for c in ("parent_id", "node_id", "end_id", "depth", "start_line", "start_col", "end_line", "end_col"):

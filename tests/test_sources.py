@@ -2,6 +2,7 @@ import pytest
 
 from plyweave.functions import setexpr as E
 from plyweave.operators import analyze as Z
+from plyweave.operators import presence as P
 from plyweave.operators import traces as R
 from plyweave.sources import features as FX
 from plyweave.sources import files as S
@@ -133,7 +134,7 @@ def test_from_sources_to_traces(spark, product_line, tmp_path):
     assert back["src_A.java", 2] == back["src_A.java", 10] == "1" * len(back["src_A.java", 1])
     human = {r.family: r.content for r in M.human_texts(t["cells"], t["variants"]).collect()}
     assert human["src_A.java"].startswith("Alignment for: src_A.java:\n") and human["src_A.java"].endswith("\n\n")
-    features = spark.createDataFrame([("1 10 2", "Base"), ("10 2", "Extra ∧ ¬Core"), ("2", "Two")], FX.SCHEMA)
+    features = spark.createDataFrame([("1 2 10", "Base"), ("2 10", "Extra ∧ ¬Core"), ("2", "Two")], FX.SCHEMA)
     out = Z.analyze(t["nodes"], t["cells"], features)
     got = {}
     for r in out.collect():
@@ -194,3 +195,35 @@ def test_stream_of_masks(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("masks").collect())) == [(1, 5), (2, 2)] == sorted(map(tuple, masks(events, "col", "system").collect()))
+
+
+def test_atomic_tags_are_the_fixed_ones():
+    assert S.ATOMIC["cpp"] == ("identifier", "call_expression", "number_literal", "char_literal", "preproc_defined", "unary_expression", "binary_expression", "parenthesized_expression")
+    assert S.ATOMIC["java"] == (
+        "throw_statement", "import_declaration", "instanceof_expression", "method_invocation", "field_access", "array_access", "class_literal", "modifiers", "formal_parameter",
+        "catch_formal_parameter", "package_declaration",
+    )
+
+
+def test_keys_of_twelve_systems(spark):
+    rows = [("f", 0, str(k)) for k in range(1, 13)] + [("f", 1, "10"), ("f", 1, "9"), ("f", 1, "x"), ("f", 1, "B")]
+    got = {r.col: r.systems_key for r in P.present_systems(spark.createDataFrame(rows, "family string, col int, variant string"), ["family", "col"], "variant").collect()}
+    assert got == {0: "1 2 3 4 5 6 7 8 9 10 11 12", 1: "9 10 B x"}
+
+
+def test_a_page_that_breaks_the_parser_is_an_error_row(spark):
+    pages = spark.createDataFrame([(1, "<![foo[ x ]]>"), (2, "<p>fine</p>")], "content_id long, content string")
+    nodes, errors = X.parse_contents(pages, "html")
+    assert {r.content_id for r in nodes.collect()} == {2} and [r.content_id for r in errors.collect()] == [1]
+
+
+def test_a_program_that_fails_ends_the_job(spark):
+    keys = spark.createDataFrame([("1 2",)], "systems_key string")
+    with pytest.raises(Exception, match="false"):
+        FX.from_program(keys, "false", "spec").collect()
+
+
+def test_bit_rows(spark):
+    rows = [("a", 0), ("a", 3), ("a", 4), ("a", 9), ("b", 7), ("c", 2)]
+    got = {r.system: r.bits for r in P.bit_rows(spark.createDataFrame(rows, "system string, col long"), ["system"], 8).collect()}
+    assert got == {"a": "10011000", "b": "00000001", "c": "00100000"}
