@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import settled
 from ..sources import files as S
+from ..sources import matrix as M
 from ..sources import syntax as X
 from . import align as A
 from . import presence as P
 from . import traces as R
+from . import tree as T
 
 
 def align_sources(spark: SparkSession, root: str, language: str, atomic: list[str] | None = None, strategy: str = "progressive", n: int = A.N_GRAM) -> dict[str, DataFrame]:
@@ -24,14 +26,37 @@ def align_sources(spark: SparkSession, root: str, language: str, atomic: list[st
     nodes, errors = X.parse_contents(found, language, S.ATOMIC[language] if atomic is None else atomic)
     nodes = settled(nodes)
     variants = settled(X.variants_of(found, nodes))
-    from . import tree as T
-
     numbered = T.leaves(nodes).select("content_id", F.col("leaf_pos").alias("pos"), "node_id")
     owner = variants.select("family", "variant_idx", "variant", "content_id")
     cells = A.align(variants, strategy, n).join(owner, ["family", "variant_idx"]).join(numbered, ["content_id", "pos"], "left")
     return {"files": found, "nodes": nodes, "errors": errors, "variants": variants, "cells": settled(cells)}
 
 
+def read_alignment(spark: SparkSession, path: str, language: str, atomic: list[str] | None = None) -> dict[str, DataFrame]:
+    """Tables ``nodes``, ``errors`` and ``cells`` of an alignment that was written before: a matrix file or a folder of them.
+
+    The source files that it names are parsed again, and the n-th 1 of a row is the n-th leaf of its file.  A file that
+    cannot be parsed is in ``errors``; bits beyond a file's leaves are left out.
+    """
+    rows = settled(M.read_matrix(spark, path))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    paths = [r.source for r in rows.select("source").distinct().collect()]  # names alone: the driver lists files anyhow
+    if not paths:
+        raise ValueError(f"no alignment in {path}")
+    files = settled(spark.read.format("binaryFile").load(paths).select(plain(F.col("path")).alias("source"), F.sha2("content", 256).alias("content_id"), "content"))
+    nodes, errors = X.parse_contents(files, language, S.ATOMIC[language] if atomic is None else atomic)
+    nodes = settled(nodes)
+    leaves = T.leaves(nodes).select("content_id", "leaf_pos", "node_id")
+    bits = P.bit_cells(rows.withColumn("source", plain(F.col("source"))), ["family", "system", "source"]).filter("is_node")
+    placed = bits.join(files.select("source", "content_id"), "source").join(leaves, ["content_id", "leaf_pos"])
+    return {"nodes": nodes, "errors": errors, "cells": settled(placed.select("family", F.col("system").cast("string").alias("variant"), "content_id", "node_id", "col"))}
+
+
+def system_keys(cells: DataFrame) -> DataFrame:
+    """(systems_key): the sets of systems that some column has, for which features are to be told."""
+    return P.present_systems(cells, ["family", "col"], "variant", "node_id").select("systems_key").distinct()
+
+
 def cell_features(cells: DataFrame, features: DataFrame, mode: str = "compat") -> DataFrame:
     """(family, variant, content_id, node_id, col, feature): every token with the features of its column's systems."""
     keys = P.present_systems(cells, ["family", "col"], "variant", "node_id")

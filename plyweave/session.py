@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,12 +15,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="plyweave-")
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder: plans built on it start from there and survive lost executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()
+    """``df`` written to the shared folder as Parquet and read back: plans built on it start from there, read the columns they need, and survive lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

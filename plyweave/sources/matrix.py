@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +43,38 @@ def write_texts(texts: DataFrame, path: str, key: str = "family") -> None:
     texts.select(key, body.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_named(texts: DataFrame, path: str, suffix: str, key: str = "family") -> None:
+    """One file ``<path>/<key><suffix>`` for each key, with its content; files of other names stay.
+
+    Spark writes the files side by side; the driver then only renames them.
+    """
+    spark = texts.sparkSession
+    aside = f"{path.rstrip('/')}/_writing"
+    write_texts(texts, aside, key)
+    jvm = spark._jvm
+    root, target = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if not folder.isDirectory() or "=" not in name:
+            continue
+        to = jvm.org.apache.hadoop.fs.Path(target, unquote(name.split("=", 1)[1]) + suffix)
+        for file in fs.listStatus(folder.getPath()):
+            fs.delete(to, False)
+            fs.rename(file.getPath(), to)
+    fs.delete(root, True)
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(family, record, system, source, bits) from files of :func:`machine_texts`, a folder of them or one file.
+    """(family, record, system, source, bits) from files of :func:`machine_texts`: one file, or all ``*.output`` files below a folder.
 
     Records end at the first whose system is not a number; of records of one system the first counts.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        reader = reader.option("pathGlobFilter", "*.output")
+    whole = reader.text(path, wholetext=True)
     lines = whole.select(F.split("value", "\n").alias("l"))
     family = F.element_at("l", 1)
     n = F.floor((F.size("l") - 1) / 3).cast("int")

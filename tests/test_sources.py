@@ -128,7 +128,9 @@ def test_discovery(spark, product_line):
 def test_from_sources_to_traces(spark, product_line, tmp_path):
     t = Z.align_sources(spark, product_line, "java")
     rows = M.machine_texts(t["cells"], t["variants"])
-    M.write_texts(rows, f"file://{tmp_path}/matrix")
+    M.write_named(rows, f"file://{tmp_path}/matrix", ".output")
+    assert (tmp_path / "matrix/src_A.java.output").read_text().startswith("src_A.java\n1\n")
+    (tmp_path / "matrix/notes.txt").write_text("not a matrix\n1\n2\n3\n")
     back = {(r.family, r.system): r.bits for r in M.read_matrix(spark, f"file://{tmp_path}/matrix").filter("family = 'src_A.java'").collect()}
     assert len({len(b) for b in back.values()}) == 1
     assert back["src_A.java", 2] == back["src_A.java", 10] == "1" * len(back["src_A.java", 1])
@@ -227,3 +229,34 @@ def test_bit_rows(spark):
     rows = [("a", 0), ("a", 3), ("a", 4), ("a", 9), ("b", 7), ("c", 2)]
     got = {r.system: r.bits for r in P.bit_rows(spark.createDataFrame(rows, "system string, col long"), ["system"], 8).collect()}
     assert got == {"a": "10011000", "b": "00000001", "c": "00100000"}
+
+
+def test_command_line_from_sources_and_from_a_matrix(spark, product_line, tmp_path):
+    from plyweave import cli
+
+    out = tmp_path / "out"
+    cli.main(["align", "java", product_line, "--output", f"file://{out}"])
+    assert sorted(p.name for p in out.glob("*.output")) == ["src_A.java.output", "src_Only.java.output"] and (out / "src_A.java.txt").read_text().startswith("Alignment for: src_A.java:\n")
+    program = tmp_path / "told"
+    program.write_text("#!/bin/sh\ncase \"$3\" in '1 2 10 ') echo Base;; '2 10 ') echo 'Extra ∧ ¬Core';; '2 ') echo Two;; esac\n")
+    program.chmod(0o755)
+    features = ["--program", str(program), "--spec", "s"]
+    cli.main(["analyze", "java", product_line, "--output", f"file://{tmp_path}/one", *features])
+    cli.main(["analyze", "java", f"file://{out}", "--matrix", "--output", f"file://{tmp_path}/two", *features])
+    read = lambda d: {p.name: p.read_text() for p in (tmp_path / d / "traces").glob("*.txt")}
+    assert read("one") == read("two") and read("two")["Two.txt"] == "Only\n" and read("two")["Extra_and_not_Core.txt"] == "p.A b()\n"
+    cli.main(["render", "java", f"file://{out}/src_A.java.output", "--matrix", "--output", f"file://{tmp_path}/page", *features])
+    assert (tmp_path / "page/page.html").read_text().count("<pre>") == 3
+    cli.main(["systems", "java", product_line])
+
+
+def test_families_are_dealt_by_size(spark):
+    from plyweave.operators import align as A
+
+    rows = [(f"f{k}", v, ["t"] * k) for k in range(1, 30) for v in (0, 1)] + [(None, 0, ["a"])]
+    frame = spark.createDataFrame(rows, "family string, variant_idx int, tokens array<string>")
+    grouped = A.largest_first(frame).applyInPandas(lambda r: r[["family"]].head(1).assign(n=len(r)), "family string, n long")
+    assert {r.family: r.n for r in grouped.collect()} == {f"f{k}": 2 for k in range(1, 30)} | {None: 1}
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    first = next(x for x in plan.splitlines() if "Exchange" in x)
+    assert "rangepartitioning" in first, plan  # not exchanged again after it
