@@ -55,7 +55,7 @@ def escaped(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without blanks and tabs at the ends."""
-    return F.regexp_replace(text, r"^[ \t]+|[ \t]+$", "")
+    return F.regexp_replace(text, r"\A[ \t]+|[ \t]+\z", "")
 
 
 def language_of(path: Column) -> Column:

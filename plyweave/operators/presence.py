@@ -86,6 +86,12 @@ def realigned(row: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
     return slots.join(row.withColumnRenamed("col", "old_col"), [*keys, "old_col"], "left").select(*keys, "col", "token")
 
 
+def without_fillers(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, text): the tokens of each row in order, from cells (keys, col, text) with null for a filler."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("col")) - 1
+    return cells.filter("text IS NOT NULL").select(*keys, place.alias("pos"), "text")
+
+
 def rendered_cell(token: Column, width: Column) -> Column:
     """A filler as blanks, a token with every white-space character as one blank."""
     return F.when(token.isNull(), F.repeat(F.lit(" "), width)).otherwise(F.regexp_replace(token, r"\s", " "))

@@ -1,3 +1,3 @@
 """Registered queries over the test tables and their SQL twins."""
 
-from . import alignment, pages, presence, tokens, trees  # noqa: F401
+from . import alignment, files, pages, presence, tokens, trees  # noqa: F401

@@ -30,6 +30,25 @@ def variant_order(variant: str = "variant") -> list[Column]:
     return [number.isNull(), number, F.col(variant)]
 
 
+def of_language(path: Column, language: str) -> Column:
+    """Whether a path ends in a suffix of the language, case counting."""
+    return F.regexp_extract(path, r"\.([^./]*)\z", 1).isin(*SUFFIXES[language])
+
+
+def located(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (path, ...) below the variants of ``root`` with family and variant; files that lie in no variant are left out."""
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    below = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
+    inside = files.withColumn("__below", below).filter(F.col("__below").contains("/"))
+    family, variant = family_key(F.expr("substring(__below, instr(__below, '/') + 1)")), variant_key(F.substring_index("__below", "/", 1))
+    return inside.select(family.alias("family"), variant.alias("variant"), *files.columns)
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """``files`` with ``variant_idx``, the place of a variant within its family."""
+    return files.withColumn("variant_idx", F.row_number().over(W.partitionBy("family").orderBy(*variant_order(), "path")) - 1)
+
+
 def discover(spark: SparkSession, root: str, language: str) -> DataFrame:
     """(family, variant, variant_idx, path, size, content_id, content) of all files of a language below the variants of ``root``.
 
@@ -39,14 +58,8 @@ def discover(spark: SparkSession, root: str, language: str) -> DataFrame:
         raise ValueError(f"unknown language {language}: use {', '.join(SUFFIXES)}")
     pattern = "*.{" + ",".join(SUFFIXES[language]) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    below = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
-    parts = files.select("path", F.col("length").alias("size"), "content", below.alias("below")).filter(F.col("below").contains("/"))
-    named = parts.select(
-        family_key(F.expr("substring(below, instr(below, '/') + 1)")).alias("family"), variant_key(F.substring_index("below", "/", 1)).alias("variant"), "path", "size",
-        F.sha2("content", 256).alias("content_id"), "content",
-    )
-    return named.withColumn("variant_idx", F.row_number().over(W.partitionBy("family").orderBy(*variant_order(), "path")) - 1)
+    named = located(files.select("path", F.col("length").alias("size"), "content"), root)
+    return numbered(named.select("family", "variant", "path", "size", F.sha2("content", 256).alias("content_id"), "content"))
 
 
 def atomic_tags(spark: SparkSession, path: str) -> list[str]:

@@ -39,7 +39,7 @@ def _joined(records: DataFrame, head) -> DataFrame:
 
 def write_texts(texts: DataFrame, path: str, key: str = "family") -> None:
     """One folder with a text file for each key; what was at ``path`` before is replaced, nothing beside it is touched."""
-    body = F.regexp_replace("content", r"\n$", "")
+    body = F.regexp_replace("content", r"\n\z", "")
     texts.select(key, body.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
@@ -74,8 +74,12 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true")
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         reader = reader.option("pathGlobFilter", "*.output")
-    whole = reader.text(path, wholetext=True)
-    lines = whole.select(F.split("value", "\n").alias("l"))
+    return records(reader.text(path, wholetext=True), "value")
+
+
+def records(whole: DataFrame, col: str) -> DataFrame:
+    """What :func:`read_matrix` gives, from a column of whole texts."""
+    lines = whole.select(F.split(col, "\n").alias("l"))
     family = F.element_at("l", 1)
     n = F.floor((F.size("l") - 1) / 3).cast("int")
     records = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("record"), F.get("l", k * 3 + 1).alias("system"), F.get("l", k * 3 + 2).alias("source"), F.get("l", k * 3 + 3).alias("bits"))))
