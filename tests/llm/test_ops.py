@@ -566,6 +566,32 @@ def test_pii_added_kinds_and_redaction(spark):
     assert got[5].text == "mail [EMAIL] or [IP]"
 
 
+def test_pii_account_numbers_end_at_a_group(spark):
+    rows = ["to BE68 5390 0754 7034 IN time", "BE68 5390 0754 7034 PLEASE", "BE68539007547034 NOW", "BE68 5390 0754 7034x", "xBE68 5390 0754 7034", "BE68 5390 0754 7035 IN"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert got == {0: "to [IBAN] IN time", 1: "[IBAN] PLEASE", 2: "[IBAN] NOW", **{k: rows[k] for k in (3, 4, 5)}}
+    whole = {r.doc_id: [s.kind for s in r.pii] for r in pii.find_pii(df, shorter=False).collect()}
+    assert whole[0] == [] and whole[5] == []
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 1000, 20_000])
+def test_pii_many_matches(spark, n):
+    texts = ["é a@b.co 1.2.3.4, " * n, "".join(f"<{k}@x.org>+12345678{k}" for k in range(n))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert plain[0] == "é [EMAIL] [IP], " * n
+    for r in pii.find_pii(df).collect():
+        want = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(PATTERNS) for m in re.finditer(p, r.text) if ok(m.group(), re.sub("[^0-9]", "", m.group())))
+        assert [(s.start, s.rank, s.end) for s in r.pii if s.rank < 4] == want
+        out, at = [], 0
+        for s in r.pii:
+            if s.start >= at:
+                out.append(r.text[at : s.start] + f"[{s.kind.upper()}]")
+            at = max(at, s.end)
+        assert plain[r.doc_id] == "".join(out) + r.text[at:]
+
+
 def brute_rake(cells, power, rounds=200):
     fitted = {k: float(v) for k, v in cells.items()}
     total = sum(fitted.values())
