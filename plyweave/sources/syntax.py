@@ -1,8 +1,8 @@
 """Syntax trees as node tables.
 
-A parser of our own covers what the traces need of Java (packages, imports, classes, methods, parameters,
-comments) and gives C++ a tree of braces; pages are parsed by the standard library.  Other constructs are
-flat tokens, so trees need not equal those of a full grammar node for node.
+A parser of our own covers packages, imports, classes, methods, parameters, statements, expressions and comments
+of Java, and namespaces, classes, functions, statements, expressions and directives of C++; pages are parsed by the
+standard library.  Other constructs are flat tokens, so trees need not equal those of a full grammar node for node.
 """
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .expressions import CPP, JAVA, Fold, Node, nested, over
+
 LEXER = re.compile(
     r"""(?P<space>\s+)|(?P<line_comment>//[^\n]*)|(?P<block_comment>/\*.*?(?:\*/|\Z))|(?P<string_literal>"(?:\\.|[^"\\\n])*"?)|(?P<character_literal>'(?:\\.|[^'\\\n])*'?)
     |(?P<number_literal>\d[\w.]*)|(?P<identifier>[^\W\d][\w$]*|\$[\w$]*)|(?P<mark>\.\.\.|->|::|[<>=!+\-*/%&|^]=|&&|\|\||\+\+|--|.)""",
@@ -24,15 +26,9 @@ LEXER = re.compile(
 )
 MODIFIERS = frozenset("public protected private static final abstract native synchronized transient volatile strictfp default sealed".split())
 KEYWORDS = MODIFIERS | frozenset("package import class interface enum extends implements throws return if else for while do switch case break continue new try catch finally throw void int long short byte char boolean float double this super".split())
-
-
-@dataclass
-class Node:
-    tag: str
-    start: int = 0
-    end: int = 0
-    named: bool = True
-    children: list[Node] = field(default_factory=list)
+CPP_KEYWORDS = KEYWORDS - frozenset("package import extends implements throws interface finally boolean byte".split()) | frozenset("const constexpr struct union namespace template typename typedef using unsigned signed inline virtual explicit friend mutable operator sizeof delete auto goto noexcept override extern".split())
+#: Statements by their first word.
+STATEMENTS = {x: f"{x}_statement" for x in "if for while do switch try return throw break continue synchronized goto".split()}
 
 
 @dataclass
@@ -42,8 +38,8 @@ class _Token:
     start: int
     end: int
 
-    def node(self) -> Node:
-        plain = self.kind == "mark" or self.text in KEYWORDS
+    def node(self, keywords: frozenset[str] = KEYWORDS) -> Node:
+        plain = self.kind == "mark" or self.text in keywords
         return Node(self.text if plain else self.kind, self.start, self.end, not plain)
 
 
@@ -206,31 +202,45 @@ class _Java:
         return self.close(node)
 
     def block(self) -> Node:
+        """Statements in braces; a statement ends at a semicolon or with a block, but not within brackets."""
         node = Node("block", children=[self.take()])
-        statement = Node("statement")
         while self.at < len(self.tokens) and self.peek() != "}":
-            comment = self.kind() in ("line_comment", "block_comment")
-            part = self.block() if self.peek() == "{" else self.take()
-            if comment and not statement.children:
-                node.children.append(part)
+            if self.kind() in ("line_comment", "block_comment"):
+                node.children.append(self.take())
                 continue
-            statement.children.append(part)
-            if part.tag in (";", "block"):
-                node.children.append(self.close(statement))
-                statement = Node("statement")
-        if statement.children:
-            node.children.append(self.close(statement))
+            parts = self.statement()
+            first = self.text[parts[0].start : parts[0].end] if not parts[0].children else ""
+            node.children.append(over(STATEMENTS.get(first, "statement"), self.folded(parts)))
         if self.peek() == "}":
             node.children.append(self.take())
         return self.close(node)
 
-    def field(self, found: list[Node]) -> Node:
-        node = Node("field_declaration", children=found)
+    def statement(self) -> list[Node]:
+        parts: list[Node] = []
+        depth = 0
         while self.at < len(self.tokens) and self.peek() != "}":
-            part = self.block() if self.peek() == "{" else self.take()
-            node.children.append(part)
-            if part.tag in (";", "block"):
+            said = self.peek()
+            depth += (said in ("(", "[")) - (said in (")", "]"))
+            values = said == "{" and bool(parts) and self.tokens[self.at - 1].text in ("=", "]", ",")
+            part = self.block() if said == "{" else self.take()
+            parts.append(part)
+            if depth <= 0 and (part.tag == ";" or (part.tag == "block" and not values and self.peek() not in ("else", "catch", "finally"))):
                 break
+        return parts
+
+    def folded(self, parts: list[Node]) -> list[Node]:
+        """The expressions of a statement, and what a ``catch`` declares."""
+        fold = Fold(self.text, JAVA)
+        items = nested(parts, fold.says)
+        for k in range(1, len(items)):
+            inner = items[k].children[1:-1]
+            if items[k].tag == "(" and items[k - 1].tag == "catch" and inner:
+                items[k] = over("catch_clause_head", [items[k].children[0], over("catch_formal_parameter", inner), items[k].children[-1]])
+        return fold.flat(items)
+
+    def field(self, found: list[Node]) -> Node:
+        node = Node("field_declaration", children=found)
+        node.children += self.folded(self.statement())
         if not node.children:
             return self.take()
         return self.close(node)
@@ -241,31 +251,84 @@ def parse_java(text: str) -> Node:
 
 
 def parse_cpp(text: str) -> Node:
-    """Tokens below nested braces; a directive is one leaf."""
+    """Namespaces, classes, functions and statements below nested braces; a directive is one leaf."""
     root = Node("translation_unit", 0, len(text))
     stack = [root]
-    lines = {m.start(): m.end() for m in re.finditer(r"(?m)^[ \t]*#(?:\\\n|[^\n])*", text)}
     skip = 0
-    for start, end in lines.items():
-        for t in lex(text[skip:start]):
-            _brace(stack, Node(t.node().tag, t.start + skip, t.end + skip, t.node().named))
-        stack[-1].children.append(Node("preproc_directive", start, end))
-        skip = end
-    for t in lex(text[skip:]):
-        _brace(stack, Node(t.node().tag, t.start + skip, t.end + skip, t.node().named))
-    for node in reversed(stack[1:]):
-        node.end = node.children[-1].end
+    for start, end in [*((m.start(), m.end()) for m in re.finditer(r"(?m)^[ \t]*#(?:\\\n|[^\n])*", text)), (len(text), None)]:
+        for t in lex(text[max(skip, 0) : start]):
+            node = t.node(CPP_KEYWORDS)
+            _brace(stack, Node(node.tag, t.start + skip, t.end + skip, node.named))
+        if end is not None:
+            stack[-1].children.append(Node("preproc_directive", start, end))
+            skip = end
+    while len(stack) > 1:
+        _closed(stack)
+    root.children = _statements(root.children, text, False)
     return root
 
 
 def _brace(stack: list[Node], node: Node) -> None:
-    node.tag = "comment" if node.tag in ("line_comment", "block_comment") else node.tag
+    node.tag = {"line_comment": "comment", "block_comment": "comment", "character_literal": "char_literal"}.get(node.tag, node.tag)
     if node.tag == "{":
-        stack[-1].children.append(Node("compound_statement", node.start, node.end))
-        stack.append(stack[-1].children[-1])
+        stack.append(Node("compound_statement", node.start, node.end))
     stack[-1].children.append(node)
     if node.tag == "}" and len(stack) > 1:
-        stack.pop().end = node.end
+        _closed(stack)
+
+
+def _closed(stack: list[Node]) -> None:
+    done = stack.pop()
+    done.end = done.children[-1].end
+    stack[-1].children.append(done)
+
+
+BODIES = {"class": ("class_specifier", "field_declaration_list"), "struct": ("struct_specifier", "field_declaration_list"), "union": ("union_specifier", "field_declaration_list"), "enum": ("enum_specifier", "enumerator_list"), "namespace": ("namespace_definition", "declaration_list")}
+
+
+def _statements(children: list[Node], text: str, inside: bool) -> list[Node]:
+    """What stands between braces, cut at semicolons and blocks; ``inside`` a function, or not."""
+    fold = Fold(text, CPP)
+    out: list[Node] = []
+    run: list[Node] = []
+    depth = 0
+    for k, node in enumerate(children):
+        if not run and (node.tag in ("comment", "preproc_directive", ";") or (node.tag in "{}" and not node.children)):
+            out.append(node)
+            continue
+        depth += (node.tag in ("(", "[")) - (node.tag in (")", "]"))
+        values = node.tag == "compound_statement" and bool(run) and run[-1].tag in ("=", ",", "]", "return")
+        run.append(node)
+        if len(run) == 2 and node.tag == ":" and run[0].tag in ("public", "private", "protected"):
+            out.append(over("access_specifier", run))
+            run = []
+            continue
+        goes_on = k + 1 < len(children) and children[k + 1].tag in ("else", "catch")
+        if k + 1 == len(children) or children[k + 1].tag == "}" or (depth <= 0 and (node.tag == ";" or (node.tag == "compound_statement" and not values and not goes_on))):
+            out.append(_statement(run, fold, inside))
+            run, depth = [], 0
+    return out
+
+
+def _statement(run: list[Node], fold: Fold, inside: bool) -> Node:
+    body = run[-1] if run[-1].tag == "compound_statement" else None
+    kind = next((BODIES[n.tag] for n in run if n.tag in BODIES and not n.children), None) if not any(n.tag == "(" for n in run) else None
+    calls = nested(run, fold.says)
+    at = next((k for k in range(1, len(calls)) if calls[k].tag == "(" and calls[k].children and (calls[k - 1].tag == "identifier" or fold.says(calls[k - 1]) not in STATEMENTS)), 0)
+    function = body is not None and kind is None and not inside and at > 0
+    for node in run:
+        if node.tag == "compound_statement":
+            node.children = _statements(node.children, fold.text, inside or kind is None)
+    if kind and body:
+        body.tag = kind[1]
+        return over(kind[0], run)
+    if function:
+        begin = at - 1
+        while begin >= 2 and calls[begin - 1].tag in ("::", "~"):
+            begin -= 2 if calls[begin - 1].tag == "::" else 1
+        head = over("function_declarator", [*calls[begin:at], over("parameter_list", calls[at].children)])
+        return over("function_definition", [*calls[:begin], head, *fold.flat(calls[at + 1 :])])
+    return over(STATEMENTS.get(run[0].tag, "statement"), fold.flat(calls))
 
 
 class _Page(HTMLParser):

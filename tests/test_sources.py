@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from plyweave.functions import setexpr as E
 from plyweave.operators import analyze as Z
@@ -72,6 +74,68 @@ def test_cpp_and_html():
         X.parse("", "cobol")
 
 
+def found(text, language, tag, atomic=()):
+    """The source of every node with a tag, white space aside."""
+    nodes = table(text, language, atomic)
+    inside = lambda n: [m["text"] for m in nodes[n["node_id"] : n["end_id"] + 1] if m["is_leaf"]]
+    return ["".join("".join(inside(n)).split()) for n in nodes if n["tag"] == tag]
+
+
+JAVA_BODY = """class A { int x = f(1) + 2 * a[3] + 4; int[] t = {1, 2}; void m() {
+  for (int i = 0; i < n; i++) { a.b(c.d, !e); }
+  throw new E("x" + y);
+  if (o instanceof B && A.class == z) return; else { q(); }
+  try { q(); } catch (E | G e) { } finally { r(); }
+  List<String> l = new ArrayList<>(); this.x = y = -1; run(() -> { z(); }); k = a >> 2; } }"""
+
+
+@pytest.mark.parametrize("tag, want", [
+    ("method_invocation", ["f(1)", "a.b(c.d,!e)", "q()", "q()", "r()", "run(()->{z();})", "z()"]), ("array_access", ["a[3]"]), ("field_access", ["c.d", "this.x"]),
+    ("class_literal", ["A.class"]), ("instanceof_expression", ["oinstanceofB"]), ("throw_statement", ['thrownewE("x"+y);']), ("catch_formal_parameter", ["E|Ge"]),
+    ("binary_expression", ["f(1)+2*a[3]+4", "2*a[3]", "i<n", '"x"+y', "oinstanceofB&&A.class==z", "A.class==z", "a>>2"]), ("generic_type", ["List<String>"]),
+    ("object_creation_expression", ['newE("x"+y)', "newArrayList<>()"]), ("variable_declarator", ["x=f(1)+2*a[3]+4", "i=0", "l=newArrayList<>()"]), ("unary_expression", ["!e", "-1"]),
+    ("try_statement", ["try{q();}catch(E|Ge){}finally{r();}"]), ("field_declaration", ["intx=f(1)+2*a[3]+4;", "int[]t={1,2};"]),
+])
+def test_java_expressions(tag, want):
+    assert found(JAVA_BODY, "java", tag) == want
+
+
+CPP_BODY = """#include <a>
+namespace n { class A : public B { public: int f(const X& a) { return 1; } }; }
+int A::f(const X& a) { if (a.b(1) > 'c' && !x) { return p->q[2] + 1; } else { y = 2; } for (int i = 0; i < 3; ++i) foo(i); int v[] = {1, 2}; }
+std::vector<int> z;"""
+
+
+@pytest.mark.parametrize("tag, want", [
+    ("function_declarator", ["f(constX&a)", "A::f(constX&a)"]), ("class_specifier", ["classA:publicB{public:intf(constX&a){return1;}}"]), ("call_expression", ["a.b(1)", "foo(i)"]),
+    ("char_literal", ["'c'"]), ("unary_expression", ["!x"]), ("parenthesized_expression", ["(a.b(1)>'c'&&!x)", "(inti=0;i<3;++i)"]), ("access_specifier", ["public:"]),
+    ("binary_expression", ["a.b(1)>'c'&&!x", "a.b(1)>'c'", "p->q[2]+1", "i<3"]), ("if_statement", ["if(a.b(1)>'c'&&!x){returnp->q[2]+1;}else{y=2;}"]), ("subscript_expression", ["p->q[2]"]),
+])
+def test_cpp_structure(tag, want):
+    assert found(CPP_BODY, "cpp", tag) == want
+
+
+def test_cpp_atomic_tags_make_leaves():
+    nodes = table(CPP_BODY, "cpp", S.ATOMIC["cpp"])
+    assert all(n["is_leaf"] for n in nodes if n["tag"] in S.ATOMIC["cpp"])
+    assert "foo(i)" in [n["text"] for n in nodes if n["tag"] == "call_expression"] and "(a.b(1) > 'c' && !x)" in [n["text"] for n in nodes if n["tag"] == "parenthesized_expression"]
+
+
+def test_a_long_chain_of_operators_is_shallow():
+    nodes = table("class A { String s = " + " + ".join(["x"] * 5000) + "; }")
+    assert max(n["depth"] for n in nodes) < 8
+
+
+@given(st.lists(st.sampled_from("a b1 if else for new class catch throw instanceof this public int ( ) [ ] { } ; , . :: -> < > >> = == + - ! & ++ ? : 1 'c' \"s\" // @ /*x*/ #p namespace struct void enum".split(" ")), max_size=40), st.sampled_from(["java", "cpp"]))
+@settings(max_examples=600, deadline=None)
+def test_no_text_is_lost(words, language):
+    text = "\n".join(words)
+    nodes = table(text, language)
+    assert "".join("".join(n["text"].split()) for n in nodes if n["is_leaf"]) == "".join(text.split())
+    for n in nodes:
+        assert n["node_id"] <= n["end_id"] < len(nodes) and n["ancestors"] == ([] if n["parent_id"] is None else [*nodes[n["parent_id"]]["ancestors"], n["parent_id"]])
+
+
 def names(spark, atomic):
     contents = spark.createDataFrame([("c", JAVA)], "content_id string, content string")
     nodes, errors = X.parse_contents(contents, "java", atomic)
