@@ -28,29 +28,50 @@ class Model:
     orders: tuple[int, ...]
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        to, chars = at, 0
-        while to < len(texts) and (to == at or chars + len(texts[to]) <= CHUNK_CHARS):
-            chars += len(texts[to])
-            to += 1
-        yield at, to
-        at = to
+def _pieces(texts: list[str], reach: int) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """Batches of about :data:`CHUNK_CHARS` characters: the texts' numbers, their lower-cased pieces between blanks, and tails.
+
+    A longer text comes in pieces that overlap by ``reach`` characters, its tail, in which no n-gram of a piece may begin.
+    """
+    owner: list[int] = []
+    found: list[str] = []
+    tails: list[int] = []
+    chars = 0
+    for k, text in enumerate(texts):
+        low = f" {text.lower()} "
+        for at in range(0, len(low), CHUNK_CHARS):
+            piece = low[at : at + CHUNK_CHARS + reach]
+            if found and chars + len(piece) > CHUNK_CHARS:
+                yield np.array(owner), found, np.array(tails)
+                owner, found, tails, chars = [], [], [], 0
+            owner.append(k)
+            found.append(piece)
+            tails.append(max(len(piece) - CHUNK_CHARS, 0) if at + CHUNK_CHARS < len(low) else 0)
+            chars += len(piece)
+    if found:
+        yield np.array(owner), found, np.array(tails)
 
 
 def features(texts: list[str], buckets: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every n-gram of the lower-cased texts, and the text that it is in; texts stand between blanks."""
-    lows = [f" {x.lower()} " for x in texts]
-    size = np.fromiter(map(len, lows), np.int64, len(lows))
-    cp = np.frombuffer("".join(lows).encode("utf-32-le"), np.uint32)
-    doc = np.repeat(np.arange(len(lows)), size)
+    return _hashed([f" {x.lower()} " for x in texts], np.zeros(len(texts), np.int64), buckets, orders)
+
+
+def _hashed(pieces: list[str], tails: np.ndarray, buckets: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every n-gram of the pieces that does not begin in a piece's tail, and the piece that it is in."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    cp = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+    doc = np.repeat(np.arange(len(pieces)), size)
+    begins = np.ones(len(cp), bool)
+    for k in np.flatnonzero(tails).tolist():
+        end = int(size[: k + 1].sum())
+        begins[end - int(tails[k]) : end] = False
     found, owner = [], []
     mixed = np.zeros(len(cp), np.uint32)
     for n in range(1, max(orders) + 1):
         mixed = mixed[: len(cp) - n + 1] * np.uint32(0x01000193) ^ cp[n - 1 :]
         if n in orders:
-            inside = doc[: len(mixed)] == doc[n - 1 :]
+            inside = (doc[: len(mixed)] == doc[n - 1 :]) & begins[: len(mixed)]
             h = (mixed + np.uint32(n)) * np.uint32(0x9E3779B1)
             found.append((h[inside] >> np.uint32(32 - (buckets.bit_length() - 1))).astype(np.int64))
             owner.append(doc[: len(mixed)][inside])
@@ -76,8 +97,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, bu
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang and has_letter(t)]
                 total = sums.setdefault(lang, np.zeros(buckets + 1, np.int64))
                 total[buckets] += len(own)
-                for a, b in _chunks(own):
-                    total[:buckets] += np.bincount(features(own[a:b], buckets, orders)[0], minlength=buckets)
+                for _, pieces, tails in _pieces(own, max(orders) - 1):
+                    total[:buckets] += np.bincount(_hashed(pieces, tails, buckets, orders)[0], minlength=buckets)
         for lang, total in sums.items():
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(total[used])], ["lang", "bucket", "n"])
@@ -98,12 +119,15 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     names, scores = ["und"] * len(texts), np.zeros(len(texts))
     where = [k for k, x in enumerate(texts) if has_letter(x)] if model.languages else []
     known = [texts[k] for k in where]
-    for a, b in _chunks(known):
-        found, owner = features(known[a:b], len(model.weights), model.orders)
-        total = np.stack([np.bincount(owner, model.weights[found, k], b - a) for k in range(len(model.languages))], axis=1) + model.prior
+    total = np.zeros((len(known), len(model.languages)))
+    for which, pieces, tails in _pieces(known, max(model.orders) - 1):
+        found, owner = _hashed(pieces, tails, len(model.weights), model.orders)
+        np.add.at(total, which, np.stack([np.bincount(owner, model.weights[found, k], len(pieces)) for k in range(len(model.languages))], axis=1))
+    if known:
+        total += model.prior
         best = total.argmax(axis=1)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        for k, x, s in zip(where[a:b], best.tolist(), share.tolist(), strict=True):
+        for k, x, s in zip(where, best.tolist(), share.tolist(), strict=True):
             names[k], scores[k] = model.languages[x], s
     return names, scores
 

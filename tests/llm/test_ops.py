@@ -3,6 +3,7 @@
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -700,6 +701,46 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in langid.identify(df, nothing).collect()} == {"und"}
 
 
+def bucket(gram, buckets):
+    """An n-gram's bucket by plain arithmetic."""
+    mixed = 0
+    for c in gram:
+        mixed = (mixed * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+    return ((mixed + len(gram)) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - (buckets.bit_length() - 1))
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 4, 5, 7, 1000])
+def test_language_pieces_hold_every_gram_once(monkeypatch, chunk):
+    monkeypatch.setattr(langid, "CHUNK_CHARS", chunk)
+    texts = ["", "a", "Ab c", "É𐍈xyz" * 3, "aaaaaaaaaa", "İß"]
+    got = {k: [] for k in range(len(texts))}
+    for which, pieces, tails in langid._pieces(texts, 2):
+        found, owner = langid._hashed(pieces, tails, 1 << 14, (1, 2, 3))
+        for f, o in zip(found.tolist(), owner.tolist(), strict=True):
+            got[int(which[o])].append(f)
+    for k, t in enumerate(texts):
+        low = f" {t.lower()} "
+        assert sorted(got[k]) == sorted(bucket(low[i : i + n], 1 << 14) for n in (1, 2, 3) for i in range(len(low) - n + 1))
+
+
+def test_language_by_brute_force(monkeypatch, spark):
+    rows = [(0, "the cat sat on the mat", "en"), (1, "der Hund und die Katze", "de"), (2, "le chat est sur la table", "fr"), (3, "the dog and the cat", "en"), (4, None, "en"), (5, "x", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), buckets=1 << 10)
+    grams = lambda t: [bucket(f" {t.lower()} "[i : i + n], 1 << 10) for n in (1, 2, 3) for i in range(len(t) + 3 - n)]
+    known = [(t, x) for _, t, x in rows if t and x]
+    texts = ["the mat", "die Katze", "la table est", "zzz", "the cat " * 40]
+    monkeypatch.setattr(langid, "CHUNK_CHARS", 50)
+    names, scores = langid.predict(model, texts)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        total = {}
+        for lang in ("de", "en", "fr"):
+            count = Counter(g for t, x in known if x == lang for g in grams(t))
+            n = sum(count.values()) + 0.5 * 1024
+            total[lang] = math.log(sum(x == lang for _, x in known) / len(known)) + sum(math.log((count[g] + 0.5) / n) for g in grams(text))
+        best = max(sorted(total), key=total.get)
+        assert name == best and abs(score - 1 / sum(math.exp(v - total[best]) for v in total.values())) < 1e-4
+
+
 def test_features_by_hand():
     found, owner = langid.features(["Ab", ""], 1 << 10, (2,))
     assert owner.tolist() == [0, 0, 0, 1]
