@@ -128,14 +128,17 @@ def unmarked_subtrees(nodes: DataFrame, marked: DataFrame) -> DataFrame:
 def proximity(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(content_id, a, b, proximity): steps to the first two ancestors with one tag, the first node's chain outermost; null without any.
 
-    ``pairs`` has (content_id, a, b).
+    ``pairs`` has (content_id, a, b).  Only the chains of the nodes in pairs are built, and only inner nodes, which alone are
+    ancestors, lend their tags.  Sizes of compressed files promise small tables, so the joins are told to sort: none is sent to the driver.
     """
-    tags = nodes.select("content_id", F.col("node_id").alias("ancestor_id"), "tag")
-    chain = ancestors(nodes).join(tags, ["content_id", "ancestor_id"]).select("content_id", "node_id", "tag", (F.col("distance") - 1).alias("d"))
-    one = pairs.join(chain.select("content_id", F.col("node_id").alias("a"), "tag", F.col("d").alias("i")), ["content_id", "a"])
-    both = one.join(chain.select("content_id", F.col("node_id").alias("b"), "tag", F.col("d").alias("j")), ["content_id", "b", "tag"])
+    asked = pairs.select("content_id", F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    tags = nodes.filter(~F.col("is_leaf")).select("content_id", F.col("node_id").alias("ancestor_id"), "tag")
+    above = ancestors(nodes.join(asked.hint("merge"), ["content_id", "node_id"], "left_semi"))
+    chain = above.join(tags.hint("merge"), ["content_id", "ancestor_id"]).select("content_id", "node_id", "tag", (F.col("distance") - 1).alias("d"))
+    one = pairs.join(chain.select("content_id", F.col("node_id").alias("a"), "tag", F.col("d").alias("i")).hint("merge"), ["content_id", "a"])
+    both = one.join(chain.select("content_id", F.col("node_id").alias("b"), "tag", F.col("d").alias("j")).hint("merge"), ["content_id", "b", "tag"])
     found = both.groupBy("content_id", "a", "b").agg(F.min_by(F.col("i") + F.col("j"), F.struct("i", "j")).alias("proximity"))
-    return pairs.join(found, ["content_id", "a", "b"], "left")
+    return pairs.join(found.hint("merge"), ["content_id", "a", "b"], "left")
 
 
 def relative_position(a: str, b: str) -> Column:

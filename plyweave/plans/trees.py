@@ -220,7 +220,7 @@ def ancestor_proximity(spark, sf_dir):
     names = nodes.filter("tag = 'identifier'").select("content_id", F.col("node_id").alias("a"), F.col("parent_id").alias("m"))
     lists = nodes.filter("tag = 'formal_parameters'").select("content_id", F.col("parent_id").alias("m"), F.col("node_id").alias("ancestor_id"))
     types = nodes.filter("tag = 'type_identifier'").select("content_id", F.col("node_id").alias("b"), F.explode("ancestors").alias("ancestor_id"))
-    pairs = names.join(lists, ["content_id", "m"]).join(types, ["content_id", "ancestor_id"]).select("content_id", "a", "b")
+    pairs = names.join(lists.hint("merge"), ["content_id", "m"]).join(types.hint("merge"), ["content_id", "ancestor_id"]).select("content_id", "a", "b")
     return T.proximity(nodes, pairs)
 
 
