@@ -4,6 +4,9 @@ Every 23-bit word lies within 3 bits of exactly one codeword of the binary Golay
 words differ in one bit at most, the codeword nearest to one is within 4 bits of the other; and if
 they differ in two, some codeword is within 4 bits of both.  The codewords near a segment of a
 fingerprint are its keys, about five each.
+
+Where texts may differ in more bits, the keys are joint codewords of two segments, and the nearest ones are found by soft
+decision: a bit counts as much as the shingles that it has more of than of its opposite.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ GENERATOR = 0b110001110101
 SEED = 42
 #: Index rows of a bucket in one block.
 BLOCK = 4096
-#: The near-duplicates of a band key, and the bytes of sets of a candidate group, that one task takes; keys with up to so many rows have their pairs listed.
+#: The near-duplicates of a key, and the bytes of sets of a candidate group, that one task takes; keys with up to so many rows have their pairs listed.
 BLOCK_ROWS, GROUP_BYTES, FEW = 32_768, 32 << 20, 64
-#: Least hashes of a set: so many bands of so many make its keys.  Sets at a similarity of 0.8 share one with a probability of 0.9998.
-BANDS, WIDE = 16, 4
+#: Codewords of each segment that make keys, and the pairs of segments of 256 bits that are joint.  Those of the first 128 bits travel with
+#: the last 128 and the others with the first, so that what is compared says nothing that the key said.
+NEAREST = 6
+JOINT = ((0, 1), (2, 3), (6, 7), (8, 9))
+#: Counters by which keys with many rows are found.
+COUNTERS = 1 << 18
 
 
 @cache
@@ -80,22 +87,23 @@ def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[s:e], seed) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def _majority(hashes: np.ndarray, lanes: int = 1) -> bytes:
-    """``lanes`` * 64 bits: a bit is 1 if set in over half the hashes; without any all are 0.
+def _margins(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """For each of ``lanes`` * 64 bits how many more of the hashes have it than have not.
 
     The first lane takes the hashes themselves; further lanes take them mixed with another constant each.
     """
-    if not len(hashes):
-        return bytes(8 * lanes)
-    out = []
+    out = np.zeros((lanes, 64), np.int64)
     for lane in range(lanes):
         x = _mixed(hashes, lane) if lane else hashes
-        counts = np.zeros(64, np.int64)
         for at in range(0, len(x), 60_000):
             bits = np.unpackbits(x[at : at + 60_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            counts += np.add.reduce(bits, axis=0, dtype=np.uint16)
-        out.append(np.packbits(counts * 2 > len(x)).tobytes())
-    return b"".join(out)
+            out[lane] += np.add.reduce(bits, axis=0, dtype=np.uint16)
+    return 2 * out.ravel() - len(hashes)
+
+
+def _majority(hashes: np.ndarray, lanes: int = 1) -> bytes:
+    """``lanes`` * 64 bits: a bit is 1 if set in over half the hashes; without any all are 0."""
+    return np.packbits(_margins(hashes, lanes) > 0).tobytes()
 
 
 def _mixed(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
@@ -106,16 +114,32 @@ def _mixed(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of a set's least hashes; sets at a similarity of s share one band with the probability s ** WIDE."""
-    least = np.full(BANDS * WIDE, np.iinfo(np.uint64).max)
-    salts = np.arange(5, 5 + BANDS * WIDE, dtype=np.uint64)[:, None]
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, _mixed(hashes[None, at : at + 4096], salts).min(axis=1))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, WIDE).T:
-        keys = _mixed(keys ^ column, 1)
-    return keys.view(np.int64)
+@cache
+def _codewords() -> np.ndarray:
+    """(WORD, 4096): the bits of all codewords by their numbers, 1 or -1, lowest bit first."""
+    numbers = np.arange(1 << DATA, dtype=np.int64) << (WORD - DATA)
+    rest = numbers.copy()
+    for k in range(WORD - 1, WORD - DATA - 1, -1):
+        rest ^= np.where(rest >> k & 1, GENERATOR << (k - (WORD - DATA)), 0)
+    return (((numbers | rest) >> np.arange(WORD)[:, None] & 1) * 2 - 1).astype(np.float32)
+
+
+def soft_codewords(margins: np.ndarray, most: int = NEAREST) -> np.ndarray:
+    """(rows, most): numbers of the codewords that agree best with 23 ``margins`` each, the best first.
+
+    Agreement is the sum of margins on the codeword's side less that of the others; ties go to the smaller number.  Margins are
+    brought to whole numbers whose sums a float holds, so a row's codewords do not depend on the rows beside it.
+    """
+    large = np.abs(margins).max(axis=1, initial=1)
+    margins = np.where(large[:, None] > 1 << 17, np.rint(margins * ((1 << 17) / large)[:, None]), margins).astype(np.float32)
+    out = np.zeros((len(margins), most), np.int32)
+    for at in range(0, len(margins), 256):
+        agree = margins[at : at + 256] @ _codewords()
+        rows = np.arange(len(agree))
+        for k in range(most):
+            out[at : at + 256, k] = best = agree.argmax(axis=1)
+            agree[rows, best] = -np.inf
+    return out
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> bytes:
@@ -137,17 +161,26 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def _set_prints(docs: DataFrame, text_col: str, id_col: str, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, node, fp, bands): ``node`` is a hash of the text's set of shingles, ``fp`` 256 bits and ``bands`` keys of that set; repeats do not count."""
+    """(doc_id, text_hash, node, fp, codes): ``node`` is a hash of the text's set of shingles, ``fp`` 256 bits of that set and ``codes`` the
+    nearest codewords of its segments, none without shingles; repeats do not count."""
     steady_batches(docs.sparkSession)
+    segments = sorted({s for pair in JOINT for s in pair})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(_shingle_hashes(x.as_py(), shingle)) for x in batch.column(2)]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes), pa.array([_majority(x, 4) for x in sets], pa.binary()), pa.array([_bands(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "fp", "bands"])
+            margins = np.array([_margins(x, 4) for x in sets], np.int64).reshape(-1, 256)
+            prints = pa.array([x.tobytes() for x in np.packbits(margins > 0, axis=1)], pa.binary())
+            some = np.flatnonzero([len(x) > 0 for x in sets])
+            codes = np.concatenate([soft_codewords(margins[some, WORD * s : WORD * (s + 1)]) for s in segments], axis=1)
+            ends = np.zeros(len(sets) + 1, np.int32)
+            ends[some + 1] = codes.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes), prints, lists], ["doc_id", "text_hash", "node", "fp", "codes"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return cut(narrow.mapInArrow(run, "doc_id long, text_hash long, node long, fp binary, bands array<long>"), "set-prints")
+    return cut(narrow.mapInArrow(run, "doc_id long, text_hash long, node long, fp binary, codes array<int>"), "set-prints")
 
 
 def _exact_rows(fps: DataFrame) -> DataFrame:
@@ -220,22 +253,64 @@ def _bits(similarity: float) -> float:
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): documents whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Texts with one set are a node.  Nodes have fingerprints of 256 bits; keys are bands of least hashes (:func:`_bands`), since
-    joint Golay codewords miss too many pairs at 0.8 unless each text has hundreds.  Nodes that share a key and differ in few
-    enough bits are put into one candidate group; within it the sets alone decide, see :func:`set_components`.
-    A pair at 0.8 that no other text joins is missed with a probability of about 0.0002.  Texts without words differ from all texts but each other;
+    Texts with one set are a node.  Nodes have fingerprints of 256 bits; keys are joint codewords of two segments (:func:`_joint_keys`).
+    Nodes that share a key and differ in few enough bits are put into one candidate group; within it the sets alone decide,
+    see :func:`set_components`.  Of 4096 codewords the 6 that agree best with a segment are its own; two sets at 0.8 share one of a
+    segment's with a probability of about 0.95, hence one of the 144 keys in all but about 1 of 10,000 cases (simulated).
+    Texts without words differ from all texts but each other;
     null ids as in :func:`simhash_groups`.
     """
     prints = _set_prints(docs, text_col, id_col, shingle)
-    nodes = cut(prints.groupBy("node", "fp", "bands").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")), "near-nodes")
-    most = int(_bits(similarity) + 4.5 * np.sqrt(_bits(similarity) * (1 - _bits(similarity) / 256)))
+    nodes = cut(prints.groupBy("node", "fp", "codes").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")), "near-nodes")
+    most = int(_bits(similarity) / 2 + 5 * np.sqrt(_bits(similarity) / 2 * (1 - _bits(similarity) / 256)))
     groups = cut(components(_near_edges(nodes, most)).select(F.col("id").alias("node"), "component"), "near-groups")
     sets = _sets(docs.select(F.col(text_col).alias("text")), nodes.join(groups, "node").select("node", "component", "text_hash"), shingle)
     return _grouped(prints.select("doc_id", "node"), nodes.select("node", "first"), _set_edges(sets, similarity)).select("doc_id", "component_id")
 
 
+def _joint_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row number, key and the 128 bits that travel with it (two longs), of all joint codewords of a batch (id, fp, codes)."""
+    segments = sorted({s for pair in JOINT for s in pair})
+    own = np.flatnonzero(np.diff(batch.column("codes").offsets.to_numpy()))
+    codes = batch.column("codes").flatten().to_numpy().reshape(len(own), len(segments), NEAREST).astype(np.int64)
+    fp = np.frombuffer(b"".join(batch.column("fp").take(pa.array(own)).to_pylist()), np.int64).reshape(-1, 4)
+    keys, bits = [], []
+    for table, pair in enumerate(JOINT):
+        one, two = (codes[:, segments.index(s)] for s in pair)
+        keys.append((table << 2 * DATA | one[:, :, None] << DATA | two[:, None, :]).reshape(len(own), -1))
+        far = fp[:, 2:] if pair[1] * WORD < 128 else fp[:, :2]
+        bits.append(np.repeat(far[:, None], NEAREST**2, axis=1))
+    bits = np.concatenate(bits, axis=1).reshape(-1, 2)
+    return np.repeat(own, len(JOINT) * NEAREST**2), np.concatenate(keys, axis=1).ravel(), bits[:, 0].copy(), bits[:, 1].copy()
+
+
+def _joint_rows(nodes: DataFrame) -> DataFrame:
+    """(key, id, x, y, one, two): a node's row for each of its keys, in groups that any two rows of a key share at least one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                own, key, x, y = _joint_keys(part)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part.column("id").to_numpy()[own]), pa.array(x), pa.array(y)], ["key", "id", "x", "y"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            n += np.bincount(_joint_keys(batch)[1] % COUNTERS, minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    own = nodes.select(F.col("node").alias("id"), "fp", "codes")
+    rows = own.mapInArrow(run, "key long, id long, x long, y long")
+    # A key is heavy only if its counter is; rows are counted key by key only where one is.
+    if own.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK_ROWS).isEmpty():
+        return rows.withColumn("one", F.lit(0)).withColumn("two", F.lit(0))
+    return split(rows, "id", F.lit(1), BLOCK_ROWS)
+
+
 def _near_edges(nodes: DataFrame, most: int) -> DataFrame:
-    """Edges (a, b) that connect the nodes of each band key whose fingerprints differ in ``most`` bits at most."""
+    """Edges (a, b) that connect the nodes of each joint codeword that differ in ``most`` of the 128 bits beside it at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_buckets(batches, ("key", "one", "two")):
@@ -249,7 +324,7 @@ def _near_edges(nodes: DataFrame, most: int) -> DataFrame:
                 continue
             own, key = np.flatnonzero(several), key[several]
             ids = batch.column("id").to_numpy()[own]
-            fp = np.frombuffer(b"".join(batch.column("fp").take(pa.array(own)).to_pylist()), np.uint64).reshape(-1, 4)
+            fp = np.stack([batch.column(c).to_numpy()[own] for c in ("x", "y")], axis=1).view(np.uint64)
             start, size = np.cumsum(size[size > 1]) - size[size > 1], size[size > 1]
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             few = np.flatnonzero(np.repeat(size <= FEW, size))
@@ -264,8 +339,9 @@ def _near_edges(nodes: DataFrame, most: int) -> DataFrame:
             a, b = stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    rows = nodes.select(F.explode("bands").alias("key"), F.col("node").alias("id"), "fp")
-    return split(rows, "id", F.lit(1), BLOCK_ROWS).repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(run, "a long, b long")
+    steady_batches(nodes.sparkSession)
+    rows = _joint_rows(nodes)
+    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(run, "a long, b long")
 
 
 def near_components(fp: np.ndarray, most: int) -> np.ndarray:

@@ -107,6 +107,41 @@ def test_golay_finds_every_link_of_two_bits():
         assert ((near[:, :, None] == other[:, None, :]) & (near[:, :, None] >= 0)).any(axis=(1, 2)).all()
 
 
+def test_soft_codewords_agree_best():
+    rng = np.random.default_rng(2)
+    margins = rng.integers(-50, 50, (40, 23))
+    margins[0] *= 10_000_000
+    words = [d << 11 for d in range(1 << 12)]
+    for d in range(1 << 12):
+        rest = words[d]
+        for k in range(22, 10, -1):
+            if rest >> k & 1:
+                rest ^= simhash.GENERATOR << (k - 11)
+        words[d] |= rest
+    assert (simhash.golay_keys(np.array(words))[0] == np.arange(1 << 12)).all()
+    signs = np.array([[2 * (w >> b & 1) - 1 for b in range(23)] for w in words])
+    for row, got in zip(margins, simhash.soft_codewords(margins), strict=True):
+        agree = signs @ row
+        want = np.sort(agree)[::-1][: simhash.NEAREST]
+        assert len(set(got.tolist())) == simhash.NEAREST and np.abs(agree[got] - want).max() <= np.abs(row).max() * 1e-3 * (np.abs(row).max() > 1 << 17)
+
+
+def test_near_duplicates_meet_by_joint_codewords(spark):
+    """Two nodes meet if and only if they share the codewords of both segments of a table and are near in the other half of their bits."""
+    rng = np.random.default_rng(4)
+    many = 2 * len(simhash.JOINT) * simhash.NEAREST
+    fp, codes = rng.integers(0, 256, (4, 32), np.uint8), rng.permutation(4096)[: 4 * many].reshape(4, many)
+    fp[1] = fp[0]
+    codes[1, 3], codes[1, 7] = codes[0, 0], codes[0, 11]  # segments 0 and 1: one table
+    fp[3] = fp[2]
+    codes[3, 0], codes[3, 13] = codes[2, 1], codes[2, 12]  # segments 0 and 2: no table
+    nodes = spark.createDataFrame([(k + 1, fp[k].tobytes(), codes[k].tolist()) for k in range(4)], "node long, fp binary, codes array<int>")
+    assert sorted(map(tuple, simhash._near_edges(nodes, 39).collect())) == [(2, 1)]
+    fp[1, 16:] ^= 255
+    nodes = spark.createDataFrame([(k + 1, fp[k].tobytes(), codes[k].tolist()) for k in range(4)], "node long, fp binary, codes array<int>")
+    assert simhash._near_edges(nodes, 39).count() == 0
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.simhash_digest(empty(spark)).count() == 0
     assert simhash.near_duplicates(empty(spark)).count() == 0
