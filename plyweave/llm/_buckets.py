@@ -19,6 +19,8 @@ from ._shared import cut
 #: Roles of a row; their order puts the index rows first and the query rows last in a sorted bucket.
 INDEX, BOTH, QUERY = 0, 1, 2
 PAIRS_AT_ONCE = 1 << 19
+#: Edges that a task unites at once (16 MB).
+EDGES_AT_ONCE = 1 << 20
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,14 +183,40 @@ def linked(rows: DataFrame, verify: Verify, columns: Callable[[pa.RecordBatch],
     return dealt.mapInArrow(run, "a long, b long, n long")
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), ``b`` the smaller id, that connect what ``edges`` connect.
+
+    An id of a large group has an edge from each of its buckets, most of them to a few smallest ids.  All edges of an id meet in one
+    task, and stars of what they connect there leave it: one for each id and a few between the smallest ones, however many edges came.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            a, b = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(a) for a, _ in held) >= EDGES_AT_ONCE:
+                yield out()
+        if held:
+            yield out()
+
+    ends = [F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")]
+    known = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(*ends).distinct()
+    return known.repartition("a").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b): the smallest id that can be reached.
 
     Large-star and small-star rounds (Kiveris et al., 2014) until nothing changes; each round's edges are
-    written to the shared folder.  Nulls and loops are ignored; no edges give no rows.
+    written to the shared folder.  The rounds begin with few edges, see :func:`_forest`.  Nulls and loops are ignored; no edges give no rows.
     """
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    now = cut(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
+    now = cut(_forest(edges).distinct(), "edges")
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38, 0)")))
     before = now.select(mark).first()[0]
     while before[0]:

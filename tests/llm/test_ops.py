@@ -275,6 +275,22 @@ def test_components(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100} | {k: 200 for k in range(200, 230)}
 
 
+def test_rounds_of_components_begin_with_few_edges(spark, monkeypatch):
+    """A group whose ids have an edge to each of 30 smallest ones is joined with an edge or so for each id, not with all."""
+    sizes, write = [], _buckets.cut
+
+    def counted(df, label):
+        out = write(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(_buckets, "cut", counted)
+    edges = [(k, c) for k in range(30, 430) for c in range(30)] + [(k, None) for k in range(9)] + [(1000, 1001), (1002, 1001)]
+    got = {r.id: r.component for r in _buckets.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(430)} | {k: 1000 for k in (1000, 1001, 1002)}
+    assert max(sizes) <= 432 + 4 * 30  # 12,002 before
+
+
 def test_lm_prefers_what_it_has_seen(spark):
     seen = " ".join(["the cat sat on the mat"] * 40)
     rows = [(k, seen) for k in range(30)] + [(99, "mat the on sat cat the " * 40), (100, None), (101, " ")]
