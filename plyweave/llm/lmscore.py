@@ -187,30 +187,43 @@ def _context(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``x`` (classes, words) the log-probability of each word's ``chosen`` class, and the sums that make probabilities of what is left in ``x``."""
+    x -= x.max(axis=0)
+    out = x[chosen, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    return out - np.log(total), total
 
 
 def _forward(net: Network, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
-    h = np.ones((len(context), DIM + 1), np.float32)
-    h[:, :DIM] = np.tanh(sum(net.into[context[:, k]] * net.place[k] for k in range(len(OFFSETS))))
+    """What :func:`learn` needs of some words, one column each, and last their log-probabilities."""
     group, word = np.divmod(target - 1, WITHIN)
-    first = _log_softmax(h @ net.group)
-    moved = h.copy()
-    moved[:, :DIM] += net.shift[group]
-    second = _log_softmax(moved @ net.word + net.bias[group])
-    at = np.arange(len(target))
-    return h, moved, group, word, first, second, first[at, group] + second[at, word]
+    near = [net.into.take(context[:, k], axis=0) for k in range(len(OFFSETS))]
+    total = near[0] * net.place[0]
+    for k in range(1, len(OFFSETS)):
+        total += near[k] * net.place[k]
+    h = np.ones((DIM + 1, len(target)), np.float32)
+    np.tanh(total.T, out=h[:DIM])
+    first = net.group.T @ h
+    one, first_sum = _softmax(first, group)
+    # Below the moved numbers stands a 1 in the row of the word's group, so that one product adds its bias.
+    moved = np.zeros((DIM + 1 + GROUPS, len(target)), np.float32)
+    moved[DIM + 1 + group, np.arange(len(target))] = 1
+    moved[: DIM + 1] = h
+    moved[:DIM] += net.shift.T @ moved[DIM + 1 :]
+    second = np.concatenate([net.word, net.bias]).T @ moved
+    two, second_sum = _softmax(second, word)
+    return near, h, moved, group, word, first, first_sum, second, second_sum, one + two
 
 
 def _scatter(rows: np.ndarray, where: np.ndarray, size: int) -> np.ndarray:
     """Sums of ``rows`` by ``where``."""
-    order = np.argsort(where, kind="stable")
+    order = np.argsort(where.astype(np.int16), kind="stable")  # numbers of 16 bits are sorted by their digits
     own = where[order]
     new = np.flatnonzero(np.diff(own, prepend=-1))
     out = np.zeros((size, rows.shape[1]), np.float32)
-    out[own[new]] = np.add.reduceat(rows[order], new, axis=0)
+    out[own[new]] = np.add.reduceat(rows.take(order, axis=0), new, axis=0)
     return out
 
 
@@ -219,18 +232,18 @@ def learn(net: Network, classes: np.ndarray, counts: np.ndarray, memory: list[np
     context = _context(classes, counts)
     for a in range(0, len(classes), BATCH):
         x, t = context[a : a + BATCH], classes[a : a + BATCH]
-        h, moved, group, word, first, second, _ = _forward(net, x, t)
-        at = np.arange(len(t))
-        d1, d2 = np.exp(first), np.exp(second)
-        d1[at, group] -= 1
-        d2[at, word] -= 1
-        d1 /= len(t)
-        d2 /= len(t)
-        back2 = (d2 @ net.word.T)[:, :DIM]
-        inner = ((d1 @ net.group.T)[:, :DIM] + back2) * (1 - h[:, :DIM] ** 2)
+        near, h, moved, group, word, d1, first_sum, d2, second_sum, _ = _forward(net, x, t)
+        at, share = np.arange(len(t)), np.float32(1 / len(t))
+        d1 *= share / first_sum
+        d2 *= share / second_sum
+        d1[group, at] -= share
+        d2[word, at] -= share
+        back2 = net.word[:DIM] @ d2
+        inner = np.ascontiguousarray(((net.group[:DIM] @ d1 + back2) * (1 - h[:DIM] ** 2)).T)
         into = _scatter((inner[:, None, :] * net.place).reshape(-1, DIM), x.ravel(), len(net.into))
-        place = np.stack([(inner * net.into[x[:, k]]).sum(axis=0) for k in range(len(OFFSETS))])
-        for part, grad, seen in zip(net.parts(), (into, place, h.T @ d1, _scatter(back2, group, GROUPS), moved.T @ d2, _scatter(d2, group, GROUPS)), memory, strict=True):
+        place = np.stack([(inner * y).sum(axis=0) for y in near])
+        outer = moved @ d2.T
+        for part, grad, seen in zip(net.parts(), (into, place, h @ d1.T, moved[DIM + 1 :] @ back2.T, outer[: DIM + 1], outer[DIM + 1 :]), memory, strict=True):
             seen += grad**2
             part -= rate * grad / (np.sqrt(seen) + np.float32(1e-6))
 
